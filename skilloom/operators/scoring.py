@@ -19,6 +19,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skilloom.functions import js, text as text_fn
+from skilloom.functions.arrays import explode_structs
 from skilloom.functions.taxonomy import SKILLS, Skill
 from skilloom.operators.requirements import with_requirement_positions
 from skilloom.operators.skills import CONFIDENCE_BODY, CONFIDENCE_SECTION, literal_array, with_skills
@@ -154,7 +155,7 @@ SUMMARY_COLUMNS = ["total_job_skills", "required_skills_count", "preferred_skill
 
 
 def analyse(applications: DataFrame, resumes: DataFrame, jobs: DataFrame, skills: tuple[Skill, ...] = SKILLS,
-            items: bool = False) -> DataFrame:
+            items: bool = False, id_columns: tuple[str, ...] = ("resume_id", "job_id")) -> DataFrame:
     """One stored analysis per eligible application.
 
     Keeps name and title as snapshots, so later deletions leave history intact.
@@ -166,7 +167,7 @@ def analyse(applications: DataFrame, resumes: DataFrame, jobs: DataFrame, skills
     if not items:
         rf, jf = rf.drop("skills"), jf.drop("required_pos", "preferred_pos")
     d = with_scores(pair_features(applications, rf, jf), skills)
-    cols = [analysis_id("resume_id", "job_id").alias("analysis_id"), "user_id", "resume_id", "job_id",
+    cols = [analysis_id(*id_columns).alias("analysis_id"), "user_id", "resume_id", "job_id",
             F.col("file_name").alias("resume_file_name"), F.col("title").alias("job_title"),
             "overall_score", F.col("overall_score").alias("skill_score"),
             *[F.lit(0.0).alias(c) for c in ("experience_score", "project_score", "education_score", "quality_score")],
@@ -194,7 +195,7 @@ def items_column(skills: tuple[Skill, ...] = SKILLS) -> Column:
 
 
 def explode_items(analyses: DataFrame, *keys: str) -> DataFrame:
-    return analyses.select(*keys, F.explode("items").alias("_i")).select(*keys, "_i.*")
+    return explode_structs(analyses, "items", *keys)
 
 
 def resolve_catalog(items: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:

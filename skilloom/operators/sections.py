@@ -20,8 +20,8 @@ _STRIP = r"[-*#•\d.)" + js.WS + "]*"
 _STRIP_INLINE = r"[-*#•\d.)" + js.WS_INLINE + "]*"
 
 
-def _alternatives(cues: tuple[str, ...]) -> str:
-    return "|".join(c.replace("{s}", js.S) for c in cues)
+def _alternatives(cues: tuple[str, ...], space: str = js.S) -> str:
+    return "|".join(c.replace("{s}", space) for c in cues)
 
 
 SKILLS_HEADER = f"(?i)^{_STRIP}(?:{_alternatives(taxonomy.SKILLS_CUES)})"
@@ -29,7 +29,10 @@ REQUIRED_HEADER = (f"(?i)^{_STRIP}(?:{_alternatives(taxonomy.REQUIRED_CUES)}"
                    f"|{taxonomy.REQUIRED_UNLESS_PREFERRED}(?!{js.S}+PREFERRED))")
 PREFERRED_HEADER = f"(?i)^{_STRIP}(?:{_alternatives(taxonomy.PREFERRED_CUES)})"
 # First line of a block reads like a skills header (never looks past that line).
-SKILLS_FIRST_LINE = f"(?i)^{_STRIP_INLINE}(?:{_alternatives(taxonomy.SKILLS_CUES)})"
+_SKILLS_INLINE = f"{_STRIP_INLINE}(?:{_alternatives(taxonomy.SKILLS_CUES, '[' + js.WS_INLINE + ']')})"
+SKILLS_FIRST_LINE = f"(?i)^{_SKILLS_INLINE}"
+# Any line of a text is a skills header.
+SKILLS_ANY_LINE = f"(?i)(?:^|\\n){_SKILLS_INLINE}"
 _BARE = "(?i)^(?:" + "|".join(taxonomy.BARE_HEADER_WORDS) + ")"
 
 

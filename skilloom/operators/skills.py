@@ -19,6 +19,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame, functions as F
 
 from skilloom.functions import js, taxonomy
+from skilloom.functions.arrays import explode_structs
 from skilloom.functions.taxonomy import SKILLS, Skill
 from skilloom.operators.sections import _ident, is_skills_block_sql, with_sections
 
@@ -161,10 +162,13 @@ def _section_matches_sql(skills: tuple[Skill, ...]) -> str:
         found.append(f"if(array_contains(_sk_cand, '{i}'), named_struct('p', {i}, 'a', {tokens}), null)")
     canonical = literal_array([s.name.lower() for s in skills])
     context = ", ".join(str(i) for i, s in enumerate(skills) if s.name in CONTEXT_SKILLS) or "-1"
-    exact = f"lower(regexp_replace(#, {js.quote(js.S + '+')}, ' ')) = {canonical}[f.p]"
-    token = (f"if(s.block, coalesce(get(filter(f.a, t -> {exact.replace('#', 't')}), 0), f.a[0]), f.a[0])")
+
+    def exact(token: str) -> str:
+        return f"lower(regexp_replace({token}, {js.quote(js.S + '+')}, ' ')) = {canonical}[f.p]"
+
+    token = f"if(s.block, coalesce(get(filter(f.a, t -> {exact('t')}), 0), f.a[0]), f.a[0])"
     best = (f"transform(filter(array({', '.join(found)}), f -> size(f.a) > 0), f -> named_struct('p', f.p, 't', {token}))")
-    typed = (f"transform({best}, f -> named_struct('p', f.p, 't', f.t, 'k', CASE WHEN NOT {exact.replace('#', 'f.t')} THEN 'ALIAS' "
+    typed = (f"transform({best}, f -> named_struct('p', f.p, 't', f.t, 'k', CASE WHEN NOT {exact('f.t')} THEN 'ALIAS' "
              f"WHEN NOT s.block AND f.p IN ({context}) THEN 'CONTEXT' ELSE 'EXACT' END))")
     return (f"transform({typed}, m -> named_struct('skill_pos', m.p, 'token', m.t, 'match_type', m.k, "
             f"'score', CASE WHEN NOT s.block THEN {SCORE_BODY}D WHEN m.k = 'EXACT' THEN {SCORE_SECTION_EXACT}D "
@@ -220,4 +224,4 @@ def with_skills(df: DataFrame, text: str, out: str = "skills", skills: tuple[Ski
 
 def explode_skills(df: DataFrame, key: str, skills_col: str = "skills") -> DataFrame:
     """One row per (document, skill)."""
-    return df.select(key, F.explode(skills_col).alias("_s")).select(key, "_s.*")
+    return explode_structs(df, skills_col, key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skilloom.functions.arrays import explode_structs
 from skilloom.functions.taxonomy import SKILLS
 from skilloom.operators import requirements, scoring, skills
 from skilloom.oracle import base as o
@@ -29,10 +30,9 @@ def resume_skills(spark: SparkSession, sf: str) -> DataFrame:
 
 def job_requirements(spark: SparkSession, sf: str) -> DataFrame:
     d = requirements.with_requirements(feeds.jobs(spark, sf), "description")
-    parts = [F.transform(f"requirements.{b}", lambda s, b=b: F.struct(
-        s["skill_name"].alias("skill_name"), s["category"].alias("category"), F.lit(b.upper()).alias("bucket")))
-        for b in requirements.BUCKETS]
-    return d.select("job_id", F.explode(F.concat(*parts)).alias("x")).select("job_id", "x.*")
+    parts = [F.expr(f"transform(requirements.{b}, s -> named_struct('skill_name', s.skill_name, 'category', s.category, "
+                    f"'bucket', '{b.upper()}'))") for b in requirements.BUCKETS]
+    return explode_structs(d, F.concat(*parts), "job_id")
 
 
 def match_scores(spark: SparkSession, sf: str) -> DataFrame:
