@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from skilloom.functions import js
 from skilloom.operators.skills import LEFT, RIGHT
 
+# Both delimiter classes: texts and spellings are cut into the same pieces.
+CUT = f"[{js.WS},;:(/\\[{{<>\"'`)\\]}}!?.]+"
 _META = r"([.*+?^${}()|\[\]\\])"
 
 
@@ -21,7 +23,7 @@ def spelling_patterns(terms: DataFrame) -> DataFrame:
     spellings = F.array_sort(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))),
                              lambda a, b: F.length(b) - F.length(a))
     escaped = F.transform(spellings, lambda s: F.regexp_replace(s, _META, r"\\$1"))
-    first = F.array_distinct(F.transform(spellings, lambda s: F.get(F.split(F.lower(s), f"[{js.WS}]"), 0)))
+    first = F.array_distinct(F.transform(spellings, lambda s: F.get(F.filter(F.split(F.lower(s), CUT), lambda x: x != ""), 0)))
     return terms.select("name", "category", first.alias("_first"),
                         F.concat(F.lit(f"(?i){LEFT}("), F.array_join(escaped, "|"), F.lit(f"){RIGHT}")).alias("_pattern"))
 
@@ -29,10 +31,10 @@ def spelling_patterns(terms: DataFrame) -> DataFrame:
 def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """First match of every (text, term): key, term, token, match_type.
 
-    A spelling starts right after a delimiter, so its first word is a prefix of
-    some delimiter-separated piece; pieces are cut at the closing delimiters too.
+    A spelling sits between delimiters, so each of its own pieces is also a
+    piece of the text; joining on the first one loses nothing.
     """
-    pieces = F.array_distinct(F.split(F.lower(text), f"[{js.WS},;:(/\\[{{<>\"'`)\\]}}!?.]+"))
+    pieces = F.array_distinct(F.split(F.lower(text), CUT))
     words = texts.select(key, F.explode(pieces).alias("_word"))
     by_word = spelling_patterns(terms).select("name", "_pattern", F.explode("_first").alias("_word"))
     pairs = words.join(by_word, "_word").select(key, "name", "_pattern").distinct()
