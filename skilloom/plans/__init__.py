@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("matching", "reporting", "documents", "claims")
+AREAS = ("matching", "reporting", "documents", "claims", "operations")
 
 
 def _merged(attr: str) -> dict:
