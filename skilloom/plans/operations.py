@@ -202,15 +202,15 @@ _ID = o.ANALYSIS_ID
 
 def _attempt_rounds() -> list[str]:
     out = [f"e AS (SELECT user_id AS d, {KIND} AS kind, epoch_us(ts) AS us, event_id AS seq, event_id % 3 + 1 AS token, {FAIL_CODE} AS err FROM events)",
-           "s0 AS (SELECT d, min((us, seq)) AS at, 'PENDING' AS status, 0 AS n, NULL::varchar AS err, NULL::bigint AS started, NULL::bigint AS ended FROM e WHERE kind = 'upload' GROUP BY d)"]
+           "s0 AS (SELECT d, min((us, seq))  AS pt, 'PENDING' AS status, 0 AS n, NULL::varchar AS err, NULL::bigint AS started, NULL::bigint AS ended FROM e WHERE kind = 'upload' GROUP BY d)"]
     for i in (1, 2, 3):
         out.append(f"""a{i} AS (SELECT s.*, (SELECT min((e.us, e.seq)) FROM e WHERE e.d = s.d AND e.kind = 'claim' AND s.status IN ('PENDING', 'FAILED') AND s.n = {i - 1}
-          AND (e.us, e.seq) > s.at AND (coalesce(s.err, '') <> 'EXTRACTION_TIMEOUT' OR e.us >= s.ended + 10000000)) AS c FROM s{2 * i - 2} s)""")
-        out.append(f"""s{2 * i - 1} AS (SELECT d, coalesce(c, at) AS at, CASE WHEN c IS NULL THEN status ELSE 'PROCESSING' END AS status, CASE WHEN c IS NULL THEN n ELSE {i} END AS n,
+          AND (e.us, e.seq) > s.pt AND (coalesce(s.err, '') <> 'EXTRACTION_TIMEOUT' OR e.us >= s.ended + 10000000)) AS c FROM s{2 * i - 2} s)""")
+        out.append(f"""s{2 * i - 1} AS (SELECT d, coalesce(c, pt)  AS pt, CASE WHEN c IS NULL THEN status ELSE 'PROCESSING' END AS status, CASE WHEN c IS NULL THEN n ELSE {i} END AS n,
           CASE WHEN c IS NULL THEN err END AS err, CASE WHEN c IS NULL THEN started ELSE c[1] END AS started, CASE WHEN c IS NULL THEN ended END AS ended FROM a{i})""")
         out.append(f"""b{i} AS (SELECT s.*, (SELECT min((e.us, e.seq, e.kind, e.err)) FROM e WHERE e.d = s.d AND e.kind IN ('complete', 'fail') AND s.status = 'PROCESSING' AND s.n = {i}
-          AND e.token = {i} AND (e.us, e.seq) > s.at) AS x FROM s{2 * i - 1} s)""")
-        out.append(f"""s{2 * i} AS (SELECT d, CASE WHEN x IS NULL THEN at ELSE (x[1], x[2]) END AS at, CASE WHEN x IS NULL THEN status WHEN x[3] = 'complete' THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+          AND e.token = {i} AND (e.us, e.seq) > s.pt) AS x FROM s{2 * i - 1} s)""")
+        out.append(f"""s{2 * i} AS (SELECT d, CASE WHEN x IS NULL THEN pt ELSE (x[1], x[2]) END  AS pt, CASE WHEN x IS NULL THEN status WHEN x[3] = 'complete' THEN 'COMPLETED' ELSE 'FAILED' END AS status,
           n, CASE WHEN x[3] = 'fail' THEN x[4] WHEN x IS NULL THEN err END AS err, started, CASE WHEN x IS NULL THEN ended ELSE x[1] END AS ended FROM b{i})""")
     return out
 
