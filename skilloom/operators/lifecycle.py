@@ -134,37 +134,38 @@ def attempt_states(events: DataFrame, key: str = "doc_id") -> DataFrame:
     With at most three attempts, six partial aggregates settle every document,
     however many events it has.
     """
-    at = F.struct("us", "seq")
-    state = events.filter(F.col("kind") == "upload").groupBy(key).agg(F.min(at).alias("_at")).select(
-        key, F.col("_at").alias("at"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"),
-        F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("long").alias("started_us"),
-        F.lit(None).cast("long").alias("finished_us"))
-    claims = events.filter(F.col("kind") == "claim").select(key, "us", "seq")
-    outcomes = events.filter(F.col("kind").isin("complete", "fail")).select(key, "us", "seq", "kind", "token", "error_code")
+    state = events.filter(F.col("kind") == "upload").groupBy(key).agg(F.min(F.struct("us", "seq")).alias("at")).select(
+        key, F.struct(F.col("at"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"),
+                      F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("long").alias("started_us"),
+                      F.lit(None).cast("long").alias("finished_us")).alias("s"))
+    order = F.struct("us", "seq")
+    later, s = order > F.col("s.at"), lambda f: F.col(f"s.{f}")
+
+    def settle(kinds: tuple[str, ...], wanted: Column, event: Column) -> DataFrame:
+        # Uploads ride along so that every document keeps a row through the
+        # inner join, the form whose hot keys can be split at run time; the
+        # state appears once per step, so the plan grows linearly.
+        rows = events.filter(F.col("kind").isin("upload", *kinds))
+        hit = F.when((F.col("kind") != "upload") & later & wanted, event)
+        return rows.join(state, key).groupBy(key).agg(F.min(hit).alias("e"), F.any_value("s").alias("s"))
+
     for attempt in range(1, MAX_ATTEMPTS + 1):
-        cool = F.when(F.col("s.error_code") == TIMEOUT_CODE, F.col("s.finished_us") + COOLDOWN_SECONDS * SECOND).otherwise(0)
-        later = F.struct(F.col("e.us"), F.col("e.seq"))
-        taken = (claims.alias("e").join(state.alias("s"), key)
-                 .filter(F.col("s.status").isin("PENDING", "FAILED") & (F.col("s.attempts") == attempt - 1)
-                         & (later > F.col("s.at")) & (F.col("e.us") >= cool))
-                 .groupBy(key).agg(F.min(later).alias("claimed")))
-        state = state.join(taken, key, "left").select(
-            key, F.coalesce("claimed", "at").alias("at"), F.when(F.col("claimed").isNotNull(), "PROCESSING").otherwise(F.col("status")).alias("status"),
-            F.when(F.col("claimed").isNotNull(), attempt).otherwise(F.col("attempts")).alias("attempts"),
-            F.when(F.col("claimed").isNull(), F.col("error_code")).alias("error_code"),
-            F.coalesce(F.col("claimed.us"), F.col("started_us")).alias("started_us"),
-            F.when(F.col("claimed").isNull(), F.col("finished_us")).alias("finished_us"))
-        ended = (outcomes.alias("e").join(state.alias("s"), key)
-                 .filter((F.col("s.status") == "PROCESSING") & (F.col("s.attempts") == attempt) & (F.col("e.token") == attempt)
-                         & (later > F.col("s.at")))
-                 .groupBy(key).agg(F.min(F.struct(F.col("e.us"), F.col("e.seq"), F.col("e.kind"), F.col("e.error_code"))).alias("end")))
-        hit = F.col("end").isNotNull()
-        state = state.join(ended, key, "left").select(
-            key, F.when(hit, F.struct("end.us", "end.seq")).otherwise(F.col("at")).alias("at"),
-            F.when(hit, F.when(F.col("end.kind") == "complete", "COMPLETED").otherwise("FAILED")).otherwise(F.col("status")).alias("status"),
-            "attempts", F.when(hit & (F.col("end.kind") == "fail"), F.col("end.error_code")).otherwise(F.col("error_code")).alias("error_code"),
-            "started_us", F.when(hit, F.col("end.us")).otherwise(F.col("finished_us")).alias("finished_us"))
-    return state.drop("at")
+        cool = F.when(s("error_code") == TIMEOUT_CODE, s("finished_us") + COOLDOWN_SECONDS * SECOND).otherwise(0)
+        may_claim = s("status").isin("PENDING", "FAILED") & (s("attempts") == attempt - 1) & (F.col("us") >= cool)
+        d, hit = settle(("claim",), may_claim, order), F.col("e").isNotNull()
+        state = d.select(key, F.struct(
+            F.coalesce("e", "s.at").alias("at"), F.when(hit, "PROCESSING").otherwise(s("status")).alias("status"),
+            F.when(hit, attempt).otherwise(s("attempts")).alias("attempts"), F.when(~hit, s("error_code")).alias("error_code"),
+            F.coalesce("e.us", "s.started_us").alias("started_us"), F.when(~hit, s("finished_us")).alias("finished_us")).alias("s"))
+        running = (s("status") == "PROCESSING") & (s("attempts") == attempt) & (F.col("token") == attempt)
+        d = settle(("complete", "fail"), running, F.struct("us", "seq", "kind", "error_code"))
+        state = d.select(key, F.struct(
+            F.when(hit, F.struct("e.us", "e.seq")).otherwise(s("at")).alias("at"),
+            F.when(F.col("e.kind") == "complete", "COMPLETED").when(hit, "FAILED").otherwise(s("status")).alias("status"),
+            s("attempts").alias("attempts"),
+            F.when(F.col("e.kind") == "fail", F.col("e.error_code")).otherwise(s("error_code")).alias("error_code"),
+            s("started_us").alias("started_us"), F.when(hit, F.col("e.us")).otherwise(s("finished_us")).alias("finished_us")).alias("s"))
+    return state.select(key, *[s(c).alias(c) for c in ATTEMPT_COLUMNS])
 
 
 def sweep_stale(states: DataFrame, now_us: Column, minutes: int = STALE_MINUTES) -> DataFrame:

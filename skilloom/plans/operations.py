@@ -12,6 +12,7 @@ from skilloom.functions.taxonomy import SECOND_SEED, taxonomy_df
 from skilloom.operators import lifecycle as lc, maintenance as mt, reports, requirements, scoring
 from skilloom.oracle import base as o
 from skilloom.plans.matching import _analyses
+from skilloom.session import materialize
 from skilloom.sources import feeds, files
 
 DAY = 86_400
@@ -72,7 +73,7 @@ def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def constraint_audit(spark: SparkSession, sf: str) -> DataFrame:
-    a = _analyses(spark, sf, items=True)
+    a = materialize(_analyses(spark, sf, items=True), "analyses")
     return (mt.audit(a, mt.analysis_rules())
             .unionByName(mt.audit(scoring.explode_items(a, "analysis_id"), mt.item_rules()))
             .unionByName(mt.audit(feeds.jobs(spark, sf), mt.job_rules()))
@@ -97,7 +98,7 @@ def retention_resume_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retention_user_delete(spark: SparkSession, sf: str) -> DataFrame:
-    a = _analyses(spark, sf, items=True)
+    a = materialize(_analyses(spark, sf, items=True), "analyses")
     users = feeds.table(spark, sf, "nation").select(F.col("n_nationkey").alias("user_id"), "n_regionkey")
     left = mt.cascade_user_delete(users, feeds.resumes(spark, sf), feeds.jobs(spark, sf), a.drop("items"), scoring.explode_items(a, "analysis_id"),
                                   users.filter(F.col("n_regionkey") == 1))
@@ -109,7 +110,7 @@ def retention_user_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retention_analysis_delete(spark: SparkSession, sf: str) -> DataFrame:
-    a = _analyses(spark, sf, items=True)
+    a = materialize(_analyses(spark, sf, items=True), "analyses")
     keep, items = mt.delete_analyses(a.drop("items"), scoring.explode_items(a, "analysis_id"),
                                      a.filter(F.col("overall_score") < 20).select("analysis_id"))
     n = items.groupBy("analysis_id").agg(F.count("*").alias("items"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter on a cluster as much as on a laptop.  AQE re-plans joins
 # from measured sizes (broadcast only when the real side is small) and splits
@@ -52,5 +53,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), name)
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where one expensive result feeds several branches: it is computed
+    once, survives lost executors, and later scans prune its columns.
+    """
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"skilloom-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
