@@ -31,8 +31,8 @@ WORD_START = f"(?<![{W}])"
 WORD_END = f"(?![{W}])"
 BOUNDARY = f"(?:(?<=[{W}])(?![{W}])|(?<![{W}])(?=[{W}]))"
 
-# Java's zero-width test for "start of a line" as ECMAScript sees lines.
-LINE_START = r"(?<![^\n\r\x{2028}\x{2029}])"
+# What ends a line in ECMAScript multi-line patterns.
+LINE_BREAK = r"[\n\r\x{2028}\x{2029}]"
 
 
 def quote(text: str) -> str:

@@ -33,17 +33,25 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?:\+?\d{1,3}[-.{w}]?)?\(?\d{3}\)?[-.{w}]?\d{3}[-.{w}]?\d{4}"
 
 _E, _S = js.WORD_END, js.S
-_VERBS = f"(?i){js.WORD_START}(?:{'|'.join(ACTION_VERBS)}){_E}"
-_METRICS = (f"(?i){js.WORD_START}\\d+(?:\\.\\d+)?%"
-            f"|{js.WORD_START}\\d+(?:\\.\\d+)?x{_E}"
-            f"|\\${_S}*\\d+"
-            f"|{js.WORD_START}\\d+\\+?{_S}*(?:{METRIC_UNITS}){_E}"
-            f"|{js.WORD_START}\\d+(?:\\.\\d+)?[kmb](?:\\+(?=[{js.W}])|{_E})")
-_BULLETS = f"(?:^|\\n){_S}*[-*•–—]{_S}+"
+
+
+def _by_first_letter(words: tuple[str, ...]) -> str:
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{k}(?:{'|'.join(v)})" for k, v in groups.items())
+
+
+# Texts are padded with a line feed in front, so "start of text" needs no case
+# of its own and every pattern opens with a plain character, which scans fast.
+_VERBS = f"(?i)[^{js.W}](?:{_by_first_letter(ACTION_VERBS)}){_E}"
+_METRICS = (f"(?i)\\d(?<![{js.W}]\\d)\\d*(?:(?:\\.\\d+)?%|(?:\\.\\d+)?x{_E}|\\+?{_S}*(?:{METRIC_UNITS}){_E}"
+            f"|(?:\\.\\d+)?[kmb](?:\\+(?=[{js.W}])|{_E}))|\\${_S}*\\d+")
+_BULLETS = f"\\n{_S}*[-*•–—]{_S}+"
 
 
 def _header(cues: str) -> str:
-    return f"(?i)(?:{js.LINE_START}|\\n){_S}*(?:{cues.replace('{s}', _S)}){_E}"
+    return f"(?i){js.LINE_BREAK}{_S}*(?:{cues.replace('{s}', _S)}){_E}"
 
 
 # --- fixed values: deductions, in report order -------------------------------
@@ -100,12 +108,12 @@ def _rlike(t: Column, pattern: str) -> Column:
 
 def with_quality_features(df: DataFrame, text: str) -> DataFrame:
     """Add the measured features; all null except the status when the text is blank."""
-    d = df.withColumn("_qt", F.nullif(js.trim(F.col(text)), F.lit("")))
+    d = df.withColumn("_qt", F.concat(F.lit("\n"), F.nullif(js.trim(F.col(text)), F.lit(""))))
     t = F.col("_qt")
     words = F.col("word_count")
     d = d.withColumns({
         "quality_status": F.when(t.isNull(), "UNAVAILABLE").otherwise("AVAILABLE"),
-        "has_contact": _rlike(t, EMAIL) | _rlike(t, PHONE.replace("{w}", js.WS)),
+        "has_contact": (F.contains(t, F.lit("@")) & _rlike(t, EMAIL)) | _rlike(t, "(?=[+(0-9])" + PHONE.replace("{w}", js.WS)),
         "has_skills": _rlike(t, SKILLS_ANY_LINE),
         "has_experience": _rlike(t, _header(EXPERIENCE_CUES)),
         "has_education": _rlike(t, _header(EDUCATION_CUES)),

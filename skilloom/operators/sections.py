@@ -31,8 +31,8 @@ PREFERRED_HEADER = f"(?i)^{_STRIP}(?:{_alternatives(taxonomy.PREFERRED_CUES)})"
 # First line of a block reads like a skills header (never looks past that line).
 _SKILLS_INLINE = f"{_STRIP_INLINE}(?:{_alternatives(taxonomy.SKILLS_CUES, '[' + js.WS_INLINE + ']')})"
 SKILLS_FIRST_LINE = f"(?i)^{_SKILLS_INLINE}"
-# Any line of a text is a skills header.
-SKILLS_ANY_LINE = f"(?i)(?:^|\\n){_SKILLS_INLINE}"
+# Any line is a skills header, for texts padded with a leading line feed.
+SKILLS_ANY_LINE = f"(?i)\\n{_SKILLS_INLINE}"
 _BARE = "(?i)^(?:" + "|".join(taxonomy.BARE_HEADER_WORDS) + ")"
 
 
