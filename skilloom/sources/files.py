@@ -20,7 +20,11 @@ DISPLAY_NAME_MAX = 255
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, length, content of every file under ``path``."""
+    """path, length, content of every non-empty file under ``path``.
+
+    Spark's file scan gives zero-byte files no split, so they do not appear;
+    uploads kept as table rows do get the EMPTY_FILE code.
+    """
     return (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
             .load(path).select("path", "length", "content"))
 
