@@ -29,7 +29,10 @@ def _ordered_fold(events: DataFrame, key: str, ts: str, seq: str, fields: tuple[
     ``on_time(state, watermark_us)`` fires timers; ``wake(state)`` says when.
     Waiting events are bounded by the watermark delay.
     """
-    d = (events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    zoneless = isinstance(events.schema[ts].dataType, T.TimestampNTZType)
+    # Zone-less times become instants as UTC, whatever the session zone and its clock changes.
+    instant = F.timestamp_micros(lc.micros(ts)) if zoneless else F.col(ts)
+    d = (events.withColumn("_ts", instant).withWatermark("_ts", delay)
          .withColumn("_us", F.unix_micros("_ts")))
     cols = [key, "_us", seq, *fields]
 
