@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -39,26 +38,50 @@ def build_session(app: str = "skilloom", cores: str = "*", shuffle_partitions: i
     return b.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+class NoSharedFolder(ValueError):
+    """The session names no folder that driver and executors share."""
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, laptops) is a fresh temporary folder used.
+
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for checkpoints and intermediate tables that driver and executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    session with one machine (``local[n]``, as in tests) gets a fresh folder of
+    its own, and a session on a cluster an error: a machine-local folder there
+    would lose rows.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if configured:
+        return configured
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[app]
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/skilloom-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Used where one expensive result feeds several branches: it is computed
-    once, survives lost executors, and later scans prune its columns.
+    once (when the query is built), survives lost executors, and later scans
+    prune its columns.  ``release`` deletes the tables of a session.
     """
-    path = os.path.join(checkpoint_dir(df.sparkSession), f"skilloom-{name}-{uuid.uuid4().hex}")
+    path = f"{_home(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session, when no DataFrame that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
