@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, materialize, per_text, table, whole_text
+from .common import DOCUMENT_COLUMNS, ascii_words, materialize, per_text, table, whole_text
 
 #: Production parameters: words of a shingle, seed of its hash, bits that may differ, nodes of a shard.
 WORDS, SEED, RADIUS, SHARD = 3, 42, 3, 1024
@@ -210,21 +210,30 @@ def connected(pairs: DataFrame) -> DataFrame:
     return now.selectExpr("a as node", "b as root")
 
 
-def labelled(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fingerprint, component_id) of every distinct fingerprint of ``rows`` (doc_id, fingerprint)."""
-    nodes = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
+def labelled(rows: DataFrame, first: Column, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, component) of every distinct fingerprint of ``rows``; component: the least ``first`` among all rows it reaches."""
+    nodes = materialize(rows.groupBy("fingerprint").agg(F.min(first).alias("first")), "nodes")
     roots = connected(links(nodes, radius))
     with_root = nodes.join(roots.union(roots.selectExpr("root", "root").distinct()).withColumnRenamed("node", "fingerprint"), "fingerprint")
-    smallest = with_root.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = with_root.join(smallest, "root").select("fingerprint", "component_id")
-    return nodes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id"))
+    smallest = with_root.groupBy("root").agg(F.min("first").alias("component"))
+    linked = with_root.join(smallest, "root").select("fingerprint", "component")
+    return nodes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component", "first").alias("component"))
 
 
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every document."""
     rows = materialize(fingerprints(docs, ["doc_id"]), "fingerprints")
-    return rows.join(labelled(rows, radius), "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(labelled(rows, F.col("doc_id"), radius), "fingerprint").select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document (its standard columns) of each component: the one with the smallest doc_id, of repeated rows any one."""
+    seen = materialize(fingerprints(docs.select(*DOCUMENT_COLUMNS, F.monotonically_increasing_id().alias("row")), [*DOCUMENT_COLUMNS, "row"]),
+                       "deduplication")
+    first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row")
+    kept = labelled(seen.select("fingerprint", "doc_id", "row"), first, radius).select("component.row").distinct()
+    return seen.join(kept, "row", "left_semi").select(*DOCUMENT_COLUMNS)
 
 
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
