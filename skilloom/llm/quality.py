@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Numbering, materialize, per_text, table, whole_text
 
-#: Production parameters: labelled rows to learn from at most, rules, conditions of a rule, least precision and cover of a rule.
+#: Production parameters: labelled rows to learn from (in the mean; twice as many at most), rules, conditions of a rule, least precision and cover of a rule.
 SAMPLE, RULES, CONDITIONS, PRECISION, COVER = 20_000, 12, 4, 0.9, 8
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_exclaim",
               "n_short_words")
@@ -186,10 +186,12 @@ def expression(rules: list[Rule]) -> str:
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Learn from at most ``sample`` labelled rows, those with the smallest hashes of their ids."""
-    known = stats.join(labels.filter("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
-    pick = known.selectExpr("xxhash64(doc_id) AS h", "quality = 0 AS bad", *(f"{e} AS {k}" for k, e in FEATURES.items()))
-    got = pick.orderBy("h", *FEATURES, "bad").limit(sample).toPandas()
+    """Learn from about ``sample`` labelled rows, those whose hashes lie below a bound; what reaches the driver doesn't grow with the input."""
+    named = labels.filter("quality IS NOT NULL").selectExpr("doc_id", "quality", "xxhash64(doc_id) AS h")
+    share = min(1.0, sample / max(1, named.count()))
+    known = stats.join(named.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))), "doc_id")
+    pick = known.selectExpr("h", "quality = 0 AS bad", *(f"{e} AS {k}" for k, e in FEATURES.items()))
+    got = pick.limit(2 * sample).toPandas().sort_values(["h", *FEATURES, "bad"])
     rows = {k: got[k].to_numpy(float) for k in FEATURES}
     return learn(rows, got["bad"].to_numpy(bool), got["h"].to_numpy(np.int64) % 3 != 0)
 
