@@ -86,15 +86,16 @@ def rate_limit_decisions(events: DataFrame, key: str, ts: str, order: str, windo
                          limit: int = RATE_LIMIT) -> DataFrame:
     """Sliding log where only *accepted* requests count: key, ts, order, accepted, retry_after_seconds.
 
-    Acceptance depends on earlier acceptances, so it needs order.  A quiet gap
+    Rows without a key (null or empty) share one.  Acceptance depends on earlier acceptances, so it needs order.  A quiet gap
     of one window empties the log, which makes sessions independent; they are
     spread over tasks and each is folded from a sorted stream holding at most
     ``limit`` timestamps.
     """
     us = window_seconds * SECOND
-    d = events.select(key, ts, order).withColumn("_us", micros(ts))
-    d = quiet_sessions(d, key, "_us", us, 64 * us)
-    d = d.repartition(key, "_session").sortWithinPartitions(key, "_session", "_us", order)
+    who = request_key(F.col(key).cast("string"), F.lit(None).cast("string"))  # no key at all is one key, as for requests
+    d = events.select(key, ts, order).withColumn("_us", micros(ts)).withColumn("_who", who)
+    d = quiet_sessions(d, "_who", "_us", us, 64 * us)
+    d = d.repartition("_who", "_session").sortWithinPartitions("_who", "_session", "_us", order)
     schema = T.StructType([*[d.schema[c] for c in (key, ts, order)], T.StructField("accepted", T.BooleanType()),
                            T.StructField("retry_after_seconds", T.LongType())])
 
@@ -102,7 +103,7 @@ def rate_limit_decisions(events: DataFrame, key: str, ts: str, order: str, windo
         current, log = None, deque()
         for pdf in batches:
             accepted, retry = [], []
-            for who, session, now in zip(pdf[key], pdf["_session"], pdf["_us"]):
+            for who, session, now in zip(pdf["_who"], pdf["_session"], pdf["_us"]):
                 if (who, session) != current:
                     current, log = (who, session), deque()
                 while log and now - log[0] >= us:

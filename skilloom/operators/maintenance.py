@@ -37,10 +37,16 @@ def job_upsert(current: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def json_set(doc: Column, key: str, value_json: Column) -> Column:
-    """Set one top-level key of a JSON object, keeping the others."""
+    """Set one top-level key of a JSON object, keeping the others.  A text that is no JSON object stays as it is (see ``json_error``)."""
     as_map = F.coalesce(F.from_json(doc, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     kept = F.map_filter(as_map, lambda k, v: k != key)
-    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(value_json))))
+    merged = F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(value_json))))
+    return F.when(json_error(doc).isNotNull(), doc).otherwise(merged)
+
+
+def json_error(doc: Column) -> Column:
+    """``INVALID_JSON`` for a text that is no JSON object, null for objects and for no text."""
+    return F.when(doc.isNotNull() & F.from_json(doc, "map<string,variant>").isNull(), "INVALID_JSON")
 
 
 def json_set_nested(doc: Column, outer: str, inner: Column, value_json: Column) -> Column:
@@ -76,7 +82,7 @@ def delete_analyses(analyses: DataFrame, items: DataFrame, deleted: DataFrame) -
 
 def catalog_delete_blockers(requested: DataFrame, items: DataFrame, key: str = "skill_name") -> DataFrame:
     """Catalog rows that cannot be deleted because items still use them."""
-    return requested.join(items.select(key), key, "left_semi")
+    return requested.join(items.select(key).distinct(), key, "left_semi")
 
 
 # --- audits ------------------------------------------------------------------

@@ -79,19 +79,21 @@ def _word_with_cue(name: str, alias: str, cues: str) -> Matcher:
 
 
 def _rest() -> Matcher:
+    """A lone REST is dropped when a compound starts closer to it than the compound is long, whatever blanks the compound holds."""
     s = js.S
     compound = f"(?i:RESTful(?:{s}*APIs?)?|REST{s}+APIs?)"
-    # A lone REST is dropped when a compound starts closer than the compound's
-    # own length (overlap rule), so look ahead for compounds by total length.
-    near = []
-    for gap in range(0, 4):
-        near += [(f"RESTful{s}{{{gap}}}APIs", 11 + gap), (f"RESTful{s}{{{gap}}}API", 10 + gap)]
-        if gap:
-            near += [(f"REST{s}{{{gap}}}APIs", 8 + gap), (f"REST{s}{{{gap}}}API", 7 + gap)]
-    near.append(("RESTful", 7))
-    suppress = "|".join(f"[\\s\\S]{{0,{n - 6}}}{LEFT}{p}{RIGHT}" for p, n in near)
-    lone = f"{RIGHT}(?!(?i:{suppress}))"
-    return Matcher(_all(f"{LEFT}({compound}{RIGHT}|(?i:REST){lone})"), _all(f"{LEFT}({compound}{RIGHT}|REST{lone})"))
+
+    def tokens(lone: str) -> str:
+        pattern = js.quote(f"{LEFT}({compound}{RIGHT}|{lone}{RIGHT})")
+        placed = f"""aggregate(zip_with(split(s.content, {pattern}, -1), zip_with(regexp_extract_all(s.content, {pattern}, 0),
+            regexp_extract_all(s.content, {pattern}, 1), (hit, token) -> struct(hit, token)), (part, h) -> struct(part, h.hit as hit, h.token as token)),
+            struct(0 as at, cast(array() as array<struct<at: int, token: string>>) as found),
+            (acc, x) -> if(x.hit is null, acc, struct(acc.at + length(x.part) + length(x.hit) as at,
+                array_append(acc.found, named_struct('at', acc.at + length(x.part) + 1, 'token', x.token)) as found)), acc -> acc.found)"""
+        return (f"transform(array({placed}), all -> transform(filter(all, x -> length(x.token) > 4 or not exists(all, c -> length(c.token) > 4 "
+                "and abs(c.at - x.at) < length(c.token))), x -> x.token))[0]")
+
+    return Matcher(tokens("(?i:REST)"), tokens("REST"))
 
 
 def matcher_for(skill: Skill) -> Matcher:

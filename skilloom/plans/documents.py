@@ -78,7 +78,7 @@ def readability_check(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     d = _documents(spark, sf).unionByName(feeds.table(spark, sf, "conversations").select(
         (-F.col("conv_id") * 1000 - F.col("turn") - 1).alias("doc_id"), "text"))
-    return d.select("doc_id", text_fn.readability_code("text", max_units=20_000).alias("error_code"),
+    return d.select("doc_id", text_fn.readability_code("text").alias("error_code"),
                     js.utf16_length(t).alias("character_count"), js.word_count(t).cast("long").alias("word_count"))
 
 
@@ -89,8 +89,9 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 def rest_word_precision(spark: SparkSession, sf: str) -> DataFrame:
     d = _documents(spark, sf)
-    block = skills.with_skills(d, "text", "as_block", override=True)
-    both = skills.with_skills(block, "text", "as_prose", override=False)
+    rest = tuple(s for s in skills.SKILLS if s.name == "REST APIs")
+    block = skills.with_skills(d, "text", "as_block", skills=rest, override=True)
+    both = skills.with_skills(block, "text", "as_prose", skills=rest, override=False)
     has = lambda c: F.exists(c, lambda s: s["skill_name"] == "REST APIs")
     return both.select("doc_id", has("as_block").alias("hit_in_skills_block"), has("as_prose").alias("hit_in_prose"))
 
@@ -120,7 +121,7 @@ QUERIES = {f.__name__: f for f in (
 
 # --- SQL twins ---------------------------------------------------------------
 
-def _redact_sql(e: str) -> str:
+def redact_sql(e: str) -> str:
     for pattern, tag in pii.REDACTIONS:
         e = f"regexp_replace({e}, '{pii.render(pattern, o.WS, chr(92) + 'b', chr(92) + 'b', chr(92) + 'b')}', '{tag}', 'g')"
     return e
@@ -160,18 +161,18 @@ ORACLES = {
     "quality_deductions": o.with_(*oq.features("documents", "doc_id", "text", "f")) + " UNION ALL ".join(
         f"SELECT doc_id, '{r}' AS rule, {p}::double AS deduction FROM f WHERE {c}" for c, r, p in _RULES),
     "quality_strengths": o.with_(o.RESUMES, *oq.features("v_resumes", "resume_id", "extracted_text", "f")) + _strengths_sql(),
-    "pii_redacted_documents": f"SELECT doc_id, {_redact_sql('text')} AS redacted FROM documents",
-    "pii_redacted_pages": f"SELECT page_id, {_redact_sql('html')} AS redacted FROM pages",
-    "pii_redacted_records": f"""SELECT c_custkey, {_redact_sql('c_name')} AS name, '[EMAIL_REDACTED]' AS email, '[ADDRESS_REDACTED]' AS street,
-      '[POSTAL_REDACTED]' AS postal_code, {_redact_sql("'call (555) 010-' || lpad((c_custkey % 10000)::varchar, 4, '0')")} || '; ' ||
-      {_redact_sql(f"'lives at ' || {ADDRESS}")} AS notes FROM customer""",
-    "pii_redacted_json": f"""SELECT c_custkey, '{{"name":"' || {_redact_sql('c_name')} || '","email":"[EMAIL_REDACTED]","home":{{"street":"[ADDRESS_REDACTED]","postal_code":"[POSTAL_REDACTED]"}},"notes":["'
-      || {_redact_sql("'call (555) 010-' || lpad((c_custkey % 10000)::varchar, 4, '0')")} || '","' || {_redact_sql(f"'lives at ' || {ADDRESS}")} || '"]}}' AS redacted FROM customer""",
+    "pii_redacted_documents": f"SELECT doc_id, {redact_sql('text')} AS redacted FROM documents",
+    "pii_redacted_pages": f"SELECT page_id, {redact_sql('html')} AS redacted FROM pages",
+    "pii_redacted_records": f"""SELECT c_custkey, {redact_sql('c_name')} AS name, '[EMAIL_REDACTED]' AS email, '[ADDRESS_REDACTED]' AS street,
+      '[POSTAL_REDACTED]' AS postal_code, {redact_sql("'call (555) 010-' || lpad((c_custkey % 10000)::varchar, 4, '0')")} || '; ' ||
+      {redact_sql(f"'lives at ' || {ADDRESS}")} AS notes FROM customer""",
+    "pii_redacted_json": f"""SELECT c_custkey, '{{"name":"' || {redact_sql('c_name')} || '","email":"[EMAIL_REDACTED]","home":{{"street":"[ADDRESS_REDACTED]","postal_code":"[POSTAL_REDACTED]"}},"notes":["'
+      || {redact_sql("'call (555) 010-' || lpad((c_custkey % 10000)::varchar, 4, '0')")} || '","' || {redact_sql(f"'lives at ' || {ADDRESS}")} || '"]}}' AS redacted FROM customer""",
     "clean_text": f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents",
     "clean_titles": """SELECT p_partkey, p_name || ' ' || p_brand AS title,
       regexp_replace(lower(p_name || '_' || p_brand), '[^a-z0-9]+', '_', 'g') AS slug FROM part""",
     "readability_check": f"""SELECT doc_id, CASE WHEN text IS NULL OR {_UNITS.format("regexp_replace(text, '" + o.S + "', '', 'g')")} < 20 THEN 'NO_READABLE_TEXT'
-        WHEN {_UNITS.format('text')} > 20000 THEN 'TEXT_LIMIT_EXCEEDED' END AS error_code,
+        WHEN {_UNITS.format('text')} > 500000 THEN 'TEXT_LIMIT_EXCEEDED' END AS error_code,
         {_UNITS.format('text')} AS character_count, len(regexp_extract_all(text, '[^{o.WS}]+')) AS word_count
       FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -conv_id * 1000 - turn - 1, text FROM conversations)""",
     "content_hashes": f"SELECT doc_id, sha256(text) AS text_hash, sha256({o.norm('text')}) AS normalized_hash FROM documents",

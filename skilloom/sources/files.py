@@ -64,16 +64,32 @@ def display_name(name: Column, fallback: str = ".pdf") -> Column:
     return F.when((base == "") | base.startswith("."), F.lit(f"resume{fallback}")).otherwise(base)
 
 
+# How the parts of a document read, by kind: the child elements in output order with the kind each is read as, what joins them, and
+# whether empty ones are left out.  Fixed behaviour: within a part the output follows this grouping (a paragraph's own runs, then its links,
+# then its content controls; a body's paragraphs, then its tables, then its content controls), not the order of the elements.
+PARTS = {
+    "body": ((("p", "paragraph"), ("tbl", "table"), ("sdt/sdtContent", "body")), "\n\n", True),
+    "paragraph": ((("r", "run"), ("hyperlink", "runs"), ("sdt/sdtContent", "runs")), "", False),
+    "runs": ((("r", "run"),), "", False),
+    "table": ((("tr", "row"),), "\n", False),
+    "row": ((("tc", "cell"),), "\t", False),
+    "cell": ((("p", "paragraph"),), " ", False),
+}
+# A run's texts, then one mark for each of these groups of elements that it holds.
+RUN_TEXT, RUN_MARKS = "t", ((("tab",), "\t"), (("br", "cr"), "\n"))
+
+
 def _docx_reader():
     """Small per-file helper, built as a closure so it ships to executors by value."""
-    limits = (MAX_ENTRIES, MAX_ENTRY_NAME, MAX_XML_BYTES, MAX_ARCHIVE_BYTES)
+    limits = (MAX_ENTRIES, MAX_ENTRY_NAME, MAX_XML_BYTES)
+    parts, run_text, run_marks = PARTS, RUN_TEXT, RUN_MARKS
 
     def read(data: bytes) -> tuple[str | None, str | None]:
         import io
         import re
         import zipfile
         from xml.etree import ElementTree
-        max_entries, max_name, max_xml, max_total = limits
+        max_entries, max_name, max_xml = limits
         w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
         if not data:
             return None, "INVALID_BUFFER"
@@ -87,46 +103,36 @@ def _docx_reader():
             return None, "CORRUPTED_DOCUMENT"
         try:
             with archive.open("word/document.xml") as part:
-                xml = part.read(max_xml + 1)
+                data = part.read(max_xml + 1)
         except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError):
             return None, "CORRUPTED_DOCUMENT"
-        if len(xml) > max_xml:
+        if len(data) > max_xml:
             return None, "DECOMPRESSION_LIMIT_EXCEEDED"
-        if len(xml) > max_total:
-            return None, "ARCHIVE_SIZE_LIMIT_EXCEEDED"
-        if re.search(r"<!(?:doctype|entity)\b", xml.decode("utf-8", "replace"), re.I):
+        try:
+            xml = data.decode("utf-8-sig")  # what is checked is what is parsed: other encodings could hide a declaration
+        except UnicodeDecodeError:
+            return None, "CORRUPTED_DOCUMENT"
+        if re.search(r"<!(?:doctype|entity)\b", xml, re.I):
             return None, "UNSAFE_XML_DECLARATION"
         try:
             root = ElementTree.fromstring(xml)
-        except ElementTree.ParseError:
+        except (ElementTree.ParseError, ValueError):
             return None, "CORRUPTED_DOCUMENT"
         if root.tag != w + "document":
             return None, "CORRUPTED_DOCUMENT"
 
-        def runs(node) -> str:
-            out = []
-            for r in node.findall(w + "r"):
-                out += [t.text or "" for t in r.findall(w + "t")]
-                out += ["\t"] if r.find(w + "tab") is not None else []
-                out += ["\n"] if r.find(w + "br") is not None or r.find(w + "cr") is not None else []
-            return "".join(out)
-
-        def paragraph(p) -> str:
-            inner = [c for s in p.findall(w + "sdt") for c in s.findall(w + "sdtContent")]
-            return runs(p) + "".join(runs(h) for h in p.findall(w + "hyperlink")) + "".join(runs(c) for c in inner)
-
-        def table(t) -> str:
-            return "\n".join("\t".join(" ".join(map(paragraph, c.findall(w + "p"))).strip() for c in row.findall(w + "tc"))
-                             for row in t.findall(w + "tr"))
-
-        def container(node) -> list[str]:
-            paragraphs = "\n\n".join(x for x in map(paragraph, node.findall(w + "p")) if x)
-            tables = "\n\n".join(x for x in map(table, node.findall(w + "tbl")) if x)
-            nested = [x for s in node.findall(w + "sdt") for c in s.findall(w + "sdtContent") for x in container(c)]
-            return [x for x in (paragraphs, tables) if x] + nested
+        def reading(node, kind: str) -> str:
+            if kind == "run":
+                held = {child.tag for child in node}
+                texts = [child.text or "" for child in node if child.tag == w + run_text]
+                return "".join(texts + [mark for tags, mark in run_marks if any(w + t in held for t in tags)])
+            groups, joiner, skip_empty = parts[kind]
+            read = [reading(child, inner) for steps, inner in groups for child in node.findall("/".join(w + s for s in steps.split("/")))]
+            text = joiner.join(x for x in read if x or not skip_empty)
+            return text.strip() if kind == "cell" else text
 
         body = root.find(w + "body")
-        return "\n\n".join(container(root if body is None else body)), None
+        return reading(root if body is None else body, "body"), None
 
     return read
 

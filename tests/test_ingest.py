@@ -61,11 +61,36 @@ def test_admission_names_and_files(spark, tmp_path):
 def test_store_roundtrip(spark, tmp_path):
     a = spark.createDataFrame([("x", 1.0, [("Python", "MATCHED")])], "analysis_id string, overall_score double, items array<struct<skill_name:string,status:string>>")
     path = str(tmp_path / "store")
-    store.write_analyses(a, path, "b1")
-    store.write_analyses(a, path, "b1")  # a retried batch replaces itself
-    a.write.parquet(f"{path}/data/batch_id=b2")  # written but never committed
-    assert store.read_analyses(spark, path).count() == 1
-    assert store.read_items(spark, path).select("analysis_id", "skill_name").collect() == [("x", "Python")]
+    assert store.read_analyses(spark, path, a.schema).count() == 0
+    assert store.write_analyses(a, path, "b1") and store.write_analyses(a, path, "b2")
+    fails = a.withColumn("overall_score", F.raise_error(F.lit("lost")).cast("double"))
+    assert not store.write_analyses(fails, path, "b1")  # a committed batch is left as it is
+    try:
+        store.write_analyses(fails, path, "b3")
+    except Exception as e:  # the job fails; nothing of it is read
+        assert "lost" in str(e)
+    a.write.parquet(f"{path}/data/attempt=half")  # written but never committed
+    assert sorted(r.batch_id for r in store.read_analyses(spark, path).collect()) == ["b1", "b2"]
+    assert store.read_items(spark, path, a.schema).select("analysis_id", "skill_name").collect() == [("x", "Python")] * 2
+
+
+def test_docx_encodings_cannot_hide_a_declaration(spark):
+    evil = '<?xml version="1.0" encoding="UTF-16"?><!DOCTYPE d [<!ENTITY e "EXPANDED">]>'
+    parts = []
+    for encoding in ("utf-16", "utf-8"):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            z.writestr("[Content_Types].xml", "<Types/>")
+            z.writestr("word/document.xml", f"{evil}<w:document {NS}><w:body>{_p('&e; hello')}</w:body></w:document>".encode(encoding))
+        parts.append(buf.getvalue())
+    got = files.docx_text(spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "path int, content binary"))
+    assert [r.error_code for r in got.orderBy("path").collect()] == ["CORRUPTED_DOCUMENT", "UNSAFE_XML_DECLARATION"]
+
+
+def test_json_set_keeps_what_is_no_object(spark):
+    d = spark.createDataFrame([('{"a": 1, broken',), ("[1]",)], "doc string")
+    got = d.select(mt.json_set(F.col("doc"), "k", F.lit("1")).alias("x"), mt.json_error(F.col("doc")).alias("e")).collect()
+    assert [(r.x, r.e) for r in got] == [('{"a": 1, broken', "INVALID_JSON"), ("[1]", "INVALID_JSON")]
 
 
 def test_json_set(spark):

@@ -36,6 +36,16 @@ def test_rate_limit_equals_brute_force(spark):
     assert {r.event_id: (r.accepted, r.retry_after_seconds) for r in d.collect()} == _brute(rows)
 
 
+def test_requests_without_a_key_share_one(spark):
+    rows = [(None if k == 1 else k, t, i) for k, t, i in _requests()]
+    d = lc.rate_limit_decisions(spark.createDataFrame(rows, SCHEMA), "user_id", "ts", "event_id", 60, 3)
+    want = _brute([(-1 if k is None else k, t, i) for k, t, i in rows])
+    assert {r.event_id: (r.accepted, r.retry_after_seconds) for r in d.collect()} == want
+    nan = spark.createDataFrame([(float("nan"), t, i) for _, t, i in rows], "user_id double, ts timestamp_ntz, event_id long")
+    d = lc.rate_limit_decisions(nan, "user_id", "ts", "event_id", 60, 3)
+    assert {r.event_id: (r.accepted, r.retry_after_seconds) for r in d.collect()} == _brute([(0, t, i) for _, t, i in rows])
+
+
 def test_range_counts(spark):
     rows = _requests(200)
     d = lc.range_counts(spark.createDataFrame(rows, SCHEMA), "user_id", "ts", "event_id", 60)

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from compare import canonical, duck  # noqa: E402
 
-from __spark_entry__ import oracle_sql, queries  # noqa: E402
+from skilloom.plans import all_oracles as oracle_sql, all_queries as queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DEFAULT = ["top_applicants_per_job", "resume_skills", "job_requirements", "quality_deductions", "pii_redacted_documents", "clean_text",

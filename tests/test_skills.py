@@ -112,3 +112,14 @@ def test_custom_taxonomy_over_one_bit_word(spark):
     assert row.average_confidence == 0.933
 
 
+
+
+def test_rest_overlap_is_by_position(spark):
+    import skilloom.operators.skills as sk
+
+    rest = tuple(s for s in sk.SKILLS if s.name == "REST APIs")
+    texts = ["REST tools, RESTful" + " " * n + "APIs" for n in range(1, 9)] + ["REST and then much later RESTful APIs"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s[0].token for r in sk.with_skills(d, "t", "s", skills=rest, override=False).collect()}
+    # "REST" starts 12 before the compound: dropped once the compound is longer than that, which holds from two blanks on.
+    assert [got[i].split()[0] for i in range(9)] == ["REST"] + ["RESTful"] * 7 + ["REST"]
