@@ -142,6 +142,27 @@ def quality_recommendations_column() -> Column:
     return F.when(F.col("quality_status") == "AVAILABLE", F.array_compact(F.array(*recs)))
 
 
+def _ranked(recs: DataFrame) -> DataFrame:
+    return recs.withColumn("priority_rank", F.when(F.col("priority") == "HIGH", 1).when(F.col("priority") == "MEDIUM", 2).otherwise(3))
+
+
+def nested_recommendations(analyses: DataFrame, resumes: DataFrame) -> DataFrame:
+    """As :func:`recommendations`, for analyses that carry their ``items``: one pass over the pairs, exploded once."""
+    def gap(item: Column) -> Column:
+        name, required = item["skill_name"], requirement_type(item["evidence"]) == "REQUIRED"
+        choose = lambda i, fn: F.when(required, fn(GAP_TEXT["REQUIRED"][i])).otherwise(fn(GAP_TEXT["PREFERRED"][i]))
+        return F.struct(F.when(required, 1).otherwise(2).alias("rule_seq"), F.concat(choose(1, F.lit), text_fn.slug(name)).alias("id"),
+                        choose(0, F.lit).alias("priority"), F.lit("SKILL_GAP").alias("category"), choose(2, lambda t: _fill(t, name)).alias("title"),
+                        choose(3, lambda t: _fill(t, name)).alias("message"), choose(4, lambda t: _fill(t, name)).alias("action"), name.alias("skill_name"))
+
+    per_resume = (with_quality_features(resumes.select("resume_id", "extracted_text"), "extracted_text")
+                  .select("resume_id", quality_recommendations_column().alias("_recs")))
+    gaps = F.transform(F.filter("items", lambda i: i["status"] != "MATCHED"), gap)
+    both = analyses.select("analysis_id", "resume_id", gaps.alias("_gaps")).join(per_resume, "resume_id", "left")
+    both = both.withColumn("_all", F.when(F.col("_recs").isNull(), F.col("_gaps")).otherwise(F.concat("_gaps", "_recs")))
+    return _ranked(explode_structs(both, "_all", "analysis_id"))
+
+
 def recommendations(analyses: DataFrame, items: DataFrame, resumes: DataFrame) -> DataFrame:
     """All recommendations per analysis, ordered by (priority_rank, rule_seq, skill_name).
 
@@ -152,8 +173,7 @@ def recommendations(analyses: DataFrame, items: DataFrame, resumes: DataFrame) -
                   .select("resume_id", quality_recommendations_column().alias("_recs")))
     quality = explode_structs(analyses.select("analysis_id", "resume_id").join(per_resume, "resume_id"),
                               "_recs", "analysis_id")
-    rank = F.when(F.col("priority") == "HIGH", 1).when(F.col("priority") == "MEDIUM", 2).otherwise(3)
-    return gap_recommendations(items, "analysis_id").unionByName(quality).withColumn("priority_rank", rank)
+    return _ranked(gap_recommendations(items, "analysis_id").unionByName(quality))
 
 
 def filter_recommendations(recs: DataFrame, priority: str | None = None, category: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skilloom.functions.taxonomy import SKILLS, taxonomy_df
 from skilloom.operators import recommend, reports, requirements, scoring
 from skilloom.operators.recommend import (BULLETS_REC, GAP_TEXT, LENGTH_ACTION_BRIEF, LENGTH_ACTION_LONG, LENGTH_REC,
                                           METRICS_SPARSE_REC, METRICS_ZERO_REC, REMEDIATION, SECTION_RECS, VERBS_REC)
@@ -28,6 +29,34 @@ def analysis_history_page(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("row_no").cast("long").alias("row_no"), "total", "total_pages")
 
 
+def resume_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Second page of every user's resumes, newest (highest id) first, without their texts."""
+    d = reports.history_page(feeds.resumes(spark, sf).drop("extracted_text"), page=2, limit=10, newest="resume_id", tiebreak="resume_id")
+    return d.select("user_id", "resume_id", "file_name", "extraction_status", F.col("row_no").cast("long").alias("row_no"), "total", "total_pages")
+
+
+def job_page(spark: SparkSession, sf: str) -> DataFrame:
+    """First page of every user's jobs, newest first."""
+    d = reports.history_page(feeds.jobs(spark, sf).drop("description"), page=1, limit=20, tiebreak="job_id")
+    return d.select("user_id", "job_id", "title", F.col("row_no").cast("long").alias("row_no"), "total", "total_pages")
+
+
+def resume_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Resume 7 as each of two tenants sees it: only its owner gets a row."""
+    d = feeds.resumes(spark, sf).drop("extracted_text")
+    owner = F.col("resume_id") * 0 + F.col("user_id")
+    seen = reports.point_lookup(d, "resume_id", 7, owner).withColumn("seen_by", F.lit("owner"))
+    return seen.unionAll(reports.point_lookup(d, "resume_id", 7, -1).withColumn("seen_by", F.lit("stranger"))).select("resume_id", "file_name", "seen_by")
+
+
+def catalog_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Items per skill id of a catalog in other letters that lacks every skill of even length; and, without an id, the names it lacks."""
+    catalog = taxonomy_df(spark).filter("length(skill_name) % 2 = 1").select(F.crc32("skill_name").alias("skill_id"), F.upper("skill_name").alias("skill_name"))
+    found, missing = scoring.resolve_catalog(_items(spark, sf, "analysis_id"), catalog)
+    return (found.groupBy("skill_name").agg(F.count("*").alias("items"), F.lit(True).alias("found"))
+            .unionAll(missing.select("skill_name", F.lit(None).cast("long"), F.lit(False))))
+
+
 def latest_analysis_per_pair(spark: SparkSession, sf: str) -> DataFrame:
     a = scoring.analyse(feeds.application_events(spark, sf), feeds.resumes(spark, sf), feeds.jobs(spark, sf),
                         id_columns=("resume_id", "job_id", "event_key", "event_line"))
@@ -48,8 +77,7 @@ def category_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    a = _analyses(spark, sf, items=True)
-    return recommend.recommendations(_analyses(spark, sf), scoring.explode_items(a, "analysis_id"), feeds.resumes(spark, sf))
+    return recommend.nested_recommendations(_analyses(spark, sf, items=True), feeds.resumes(spark, sf))
 
 
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +92,9 @@ def recommendations_by_priority(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def formatting_recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    d = recommend.filter_recommendations(_recommendations(spark, sf), priority="LOW", category="FORMATTING")
+    # As two inputs: the constant category empties the gap branch, so no skill is extracted.
+    every = recommend.recommendations(_analyses(spark, sf), _items(spark, sf, "analysis_id"), feeds.resumes(spark, sf))
+    d = recommend.filter_recommendations(every, priority="LOW", category="FORMATTING")
     return d.select("analysis_id", "id", "message", "action")
 
 
@@ -100,7 +130,7 @@ def failed_or_pending_resumes(spark: SparkSession, sf: str) -> DataFrame:
 
 def job_skill_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = reports.job_skill_counts(requirements.with_requirements(feeds.jobs(spark, sf), "description"))
-    return d.select("job_id", "title", "required_count", "preferred_count", "total_count")
+    return d.select("job_id", "title", "required_count", "preferred_count", "total_count", "preview")
 
 
 def job_extraction_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +158,7 @@ def job_eligibility(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    analysis_summary, analysis_history_page, latest_analysis_per_pair, pair_digest, skill_gap, category_coverage,
+    analysis_summary, analysis_history_page, resume_page, job_page, resume_lookup, catalog_resolution, latest_analysis_per_pair, pair_digest, skill_gap, category_coverage,
     recommendations, recommendations_by_priority, formatting_recommendations, dashboard, score_bands, score_badges,
     search_history, resume_status_counts, failed_or_pending_resumes, job_skill_counts, job_extraction_status,
     eligibility_audit, job_eligibility)}
@@ -178,7 +208,9 @@ _EVENT_ANALYSES = """v_ev AS (SELECT s.user_id, s.resume_id, s.job_id, o_orderda
 
 _JOBC = [o.JOBS, *o.requirements_of("v_jobs", "job_id", "description", "j"), """v_jc AS (
    SELECT v.job_id, v.user_id, v.title, count(*) FILTER (WHERE bucket = 'R') AS required_count,
-          count(*) FILTER (WHERE bucket = 'P') AS preferred_count
+          count(*) FILTER (WHERE bucket = 'P') AS preferred_count,
+          coalesce(array_to_string((list(""" + f"[{', '.join(o.lit(x.name) for x in SKILLS)}][skill_pos + 1]" + """ ORDER BY sec, skill_pos)
+             FILTER (WHERE bucket = 'R'))[1:3], ', '), '') AS preview
    FROM v_jobs v LEFT JOIN j_req ON j_req.key = v.job_id GROUP BY ALL)"""]
 
 ORACLES = {
@@ -232,7 +264,16 @@ ORACLES = {
     "failed_or_pending_resumes": o.with_(o.RESUMES) + """SELECT resume_id, file_name, extraction_status FROM v_resumes
       WHERE extraction_status IN ('FAILED', 'PENDING')""",
     "job_skill_counts": o.with_(*_JOBC) + """SELECT job_id, title, required_count, preferred_count,
-      required_count + preferred_count AS total_count FROM v_jc""",
+      required_count + preferred_count AS total_count, preview FROM v_jc""",
+    "resume_page": o.with_(o.RESUMES) + """SELECT user_id, resume_id, file_name, extraction_status, row_no, total, greatest(ceil(total / 10), 1)::bigint AS total_pages FROM
+      (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY resume_id DESC) AS row_no, count(*) OVER (PARTITION BY user_id) AS total FROM v_resumes)
+      WHERE row_no BETWEEN 11 AND 20""",
+    "job_page": o.with_(o.JOBS) + """SELECT user_id, job_id, title, row_no, total, greatest(ceil(total / 20), 1)::bigint AS total_pages FROM
+      (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, job_id) AS row_no, count(*) OVER (PARTITION BY user_id) AS total FROM v_jobs)
+      WHERE row_no <= 20""",
+    "resume_lookup": o.with_(o.RESUMES) + "SELECT resume_id, file_name, 'owner' AS seen_by FROM v_resumes WHERE resume_id = 7",
+    "catalog_resolution": o.with_(*_M) + """SELECT skill_name, count(*) AS items, true AS found FROM v_items WHERE length(skill_name) % 2 = 1 GROUP BY 1
+      UNION ALL SELECT DISTINCT skill_name, NULL, false FROM v_items WHERE length(skill_name) % 2 = 0""",
     "job_extraction_status": o.with_(*_JOBC) + """SELECT user_id, count(*) AS all_count,
       count(*) FILTER (WHERE required_count + preferred_count > 0) AS extracted_count,
       count(*) FILTER (WHERE required_count + preferred_count = 0) AS pending_count FROM v_jc GROUP BY 1""",
