@@ -99,10 +99,13 @@ def with_next(rows: DataFrame, ranges: int) -> DataFrame:
 
 
 def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
+
+    ranges: default four times the session's shuffle partitions, so that ranges which hash to the same partition even out.
+    """
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), whole_text().alias("text"))
     rows = rows.withColumn("tree", F.expr(tree("text"))).selectExpr("doc_id", "key", "text", f"{written('tree', 'text')} as fingerprint")
-    pairs = with_next(rows, partitions(docs.sparkSession, ranges)).withColumn("n_chars", F.length("text"))
+    pairs = with_next(rows, ranges or 4 * partitions(docs.sparkSession, None)).withColumn("n_chars", F.length("text"))
     edited = pairs.withColumn("edited", F.expr("concat(left(text, n_chars - n_chars div 2), left(next_text, n_chars div 2))"))
     edited = edited.withColumn("tree", F.expr(tree("edited"))).withColumn("edited_fingerprint", F.expr(written("tree", "edited")))
     return edited.selectExpr("doc_id", "cast(n_chars as long) as n_chars", "sha2(edited, 256) as edited_sha256", "fingerprint", "edited_fingerprint",
