@@ -223,7 +223,8 @@ def labelled(rows: DataFrame, first: Column, radius: int = RADIUS) -> DataFrame:
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every document."""
     rows = materialize(fingerprints(docs, ["doc_id"]), "fingerprints")
-    return rows.join(labelled(rows, F.col("doc_id"), radius), "fingerprint").select(
+    labels = materialize(labelled(rows, F.col("doc_id"), radius), "labels")  # as a plain input Spark may split the join where one fingerprint is frequent
+    return rows.join(labels, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
