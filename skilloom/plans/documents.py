@@ -103,14 +103,14 @@ def document_skills(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    words = (feeds.table(spark, sf, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name"))
-             .filter(F.length("name") >= 4))
-    common = words.groupBy("name").agg(F.count_distinct("item_id").alias("n")).filter("n >= 5")
-    return common.select("name", F.lit("Term").alias("category"), F.array(F.concat("name", F.lit(" the"))).alias("aliases"))
+    """Every word of every benchmark item, alone and followed by an article."""
+    words = feeds.table(spark, sf, "benchmark").select(F.explode_outer(F.split(F.lower("text"), "[^a-z]+")).alias("name"))
+    return words.filter(F.col("name") != "").distinct().select(
+        "name", F.lit("Term").alias("category"), F.array(F.concat("name", F.lit(" the"))).alias("aliases"))
 
 
 def term_matches_in_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return terms.match_terms(_documents(spark, sf), "doc_id", "text", _terms(spark, sf))
+    return terms.match_terms(_documents(spark, sf), "doc_id", "text", _terms(spark, sf), most_pieces=2)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -151,6 +151,7 @@ for _p, _r in ((r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "''"), (r"\r\n?", "chr(10)"
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', {_r}, 'g')"
 _CLEAN = o.trim(_CLEAN)
 _UNITS = "(length({0}) + len(regexp_extract_all({0}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+_CUT = f"[{o.WS},;:(/\\[{{<>\"''`)\\]}}!?.]+"
 _BLOCK_DOCS = "v_d AS (SELECT doc_id, 'Skills:' || chr(10) || text AS text FROM documents)"
 
 ORACLES = {
@@ -182,8 +183,12 @@ ORACLES = {
         OR regexp_matches(text, '{o.LEFT}(?:(?i:RESTful(?:{o.S}*APIs?)?|REST{o.S}+APIs?)|REST){o.RIGHT}') AS hit_in_prose FROM documents""",
     "document_skills": o.with_(_BLOCK_DOCS, o.TAXONOMY, *o.skills_of("v_d", "doc_id", "text", "d")) + """
       SELECT key AS doc_id, skill_name, token, match_type, score, header || ': ' || token AS evidence FROM d_skills JOIN v_taxonomy USING (skill_pos)""",
-    "term_matches_in_documents": o.with_("w AS (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS name FROM benchmark)",
-        "t AS (SELECT name FROM w WHERE length(name) >= 4 GROUP BY name HAVING count(DISTINCT item_id) >= 5)",
-        f"m AS (SELECT doc_id, name, regexp_extract_all(text, '(?i){o.LEFT}(' || name || ' the|' || name || '){o.RIGHT}', 1) AS toks FROM documents, t)") + """
-      SELECT doc_id, name AS term, toks[1] AS token, CASE WHEN lower(toks[1]) = name THEN 'EXACT' ELSE 'ALIAS' END AS match_type FROM m WHERE len(toks) > 0""",
+    "term_matches_in_documents": o.with_("t AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS name FROM benchmark)",
+        "c AS (SELECT doc_id, chr(10) || text || chr(10) AS x FROM documents)",
+        f"p AS (SELECT doc_id, string_split_regex(x, '{_CUT}') AS w, regexp_extract_all(x, '{_CUT}') AS g FROM c)",
+        "q AS (SELECT doc_id, unnest(w) AS w, unnest(w[2:]) AS w2, generate_subscripts(w, 1) AS i, unnest(list_concat([NULL], g)) AS g0, unnest(g) AS g1, unnest(g[2:]) AS g2 FROM p)",
+        f"v AS (SELECT *, g0[-1:] NOT IN ('.', ')', ']', '}}', '!', '?') AS l, g1[1:1] NOT IN ('(', '[', '{{') AS r, g1 = ' ' AND lower(w2) = 'the' AND g2[1:1] NOT IN ('(', '[', '{{') AS a FROM q WHERE w <> '')",
+        "k AS (SELECT doc_id, lower(w) AS name, min(i) AS i FROM v WHERE l AND (r OR a) GROUP BY ALL)") + """
+      SELECT doc_id, name AS term, CASE WHEN a THEN w || ' ' || w2 ELSE w END AS token, CASE WHEN a THEN 'ALIAS' ELSE 'EXACT' END AS match_type
+      FROM k JOIN t USING (name) JOIN v USING (doc_id, i)""",
 }

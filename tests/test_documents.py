@@ -77,3 +77,31 @@ def test_analysis_report_and_history(spark):
     resolved, missing = scoring.resolve_catalog(scoring.explode_items(full, "analysis_id"),
                                                 spark.createDataFrame([(1, "PYTHON"), (2, "java")], "skill_id int, skill_name string"))
     assert resolved.count() == 2 and [m.skill_name for m in missing.collect()] == ["Docker"]
+
+
+def test_terms_equal_a_pattern_scan(spark):
+    """Every spelling at every boundary, against one regular expression per term."""
+    import random
+    import re
+
+    from skilloom.operators import terms
+
+    rnd = random.Random(11)
+    named = [("node.js", ["nodejs", "node"]), (".NET", ["dotnet"]), ("go", None), ("the cat", ["cat the", "cat"]), ("a/b", []), ("c", ["c."]), ("...", [])]
+    bits = ["node.js", "Node", ".net", "x.net", "GO", "go's", "the", "cat", "a", "b", "a/b", "c", "c.", "c..", "#c", "(cat)", "cat)", "é", "[go]", "go[", "\n", ""]
+    rows = [(i, "".join(rnd.choice(bits) + rnd.choice([" ", " ", "  ", "/", ".", " ", "-", ""]) for _ in range(rnd.randint(0, 14)))) for i in range(400)]
+    rows += [(900, None), (901, ""), (902, " . ")]
+    ws = r"\s"
+    want = set()
+    for i, text in rows:
+        for name, aliases in named:
+            if name == "...":
+                continue
+            alt = "|".join(re.escape(s) for s in sorted([name, *(aliases or [])], key=lambda s: -len(s)))
+            m = re.search(rf"(?i)[{ws},;:(/\[{{<>\"'`]({alt})(?=[{ws},;:)/\[\]}}<>\"'`!?.])", f"\n{text or ''}\n")
+            if m:
+                want.add((i, name, m[1], "EXACT" if m[1].lower() == name.lower() else "ALIAS"))
+    d = terms.match_terms(spark.createDataFrame(rows, "id long, text string"), "id", "text",
+                          spark.createDataFrame([(n, "T", a) for n, a in named], "name string, category string, aliases array<string>"))
+    got = [tuple(r) for r in d.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
