@@ -122,19 +122,27 @@ def rate_limit_decisions(events: DataFrame, key: str, ts: str, order: str, windo
 
 # --- attempt lifecycle -------------------------------------------------------
 
+#: Sorts behind every event of its time: the limit itself still belongs to the attempt.
+_LAST = 2**63 - 1
 ATTEMPT_COLUMNS = ("status", "attempts", "error_code", "started_us", "finished_us")
 
 
-def attempt_states(events: DataFrame, key: str = "doc_id") -> DataFrame:
+def attempt_states(events: DataFrame, key: str = "doc_id", stale_minutes: int | None = None, as_of_us: int | None = None) -> DataFrame:
     """Final state per document from upload / claim / complete / fail events.
 
     Events: key, kind, us (time), seq (tiebreak), token (attempt number an
     outcome belongs to), error_code.  A claim is honoured when the document is
     waiting or failed, fewer than three attempts were made and a timeout's
     cooldown is over; an outcome only when its token is the running attempt's.
+    With ``stale_minutes`` an outcome must also come within that time, else the
+    attempt has failed with the stale code when it is over.  ``as_of_us`` takes
+    the state at a time (later events do not count); without it, time is up for
+    every attempt that has no outcome.
     With at most three attempts, six partial aggregates settle every document,
     however many events it has.
     """
+    if as_of_us is not None:
+        events = events.filter(F.col("us") <= as_of_us)
     state = events.filter(F.col("kind") == "upload").groupBy(key).agg(F.min(F.struct("us", "seq")).alias("at")).select(
         key, F.struct(F.col("at"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"),
                       F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("long").alias("started_us"),
@@ -158,14 +166,19 @@ def attempt_states(events: DataFrame, key: str = "doc_id") -> DataFrame:
             F.coalesce("e", "s.at").alias("at"), F.when(hit, "PROCESSING").otherwise(s("status")).alias("status"),
             F.when(hit, attempt).otherwise(s("attempts")).alias("attempts"), F.when(~hit, s("error_code")).alias("error_code"),
             F.coalesce("e.us", "s.started_us").alias("started_us"), F.when(~hit, s("finished_us")).alias("finished_us")).alias("s"))
-        running = (s("status") == "PROCESSING") & (s("attempts") == attempt) & (F.col("token") == attempt)
+        open_now = (s("status") == "PROCESSING") & (s("attempts") == attempt)
+        running, over, end = open_now & (F.col("token") == attempt), F.lit(False), F.lit(None).cast("long")
+        if stale_minutes is not None:
+            end = s("started_us") + stale_minutes * 60 * SECOND
+            running &= F.col("us") <= end
+            over = F.col("e").isNull() & open_now & (F.lit(True) if as_of_us is None else end < as_of_us)
         d = settle(("complete", "fail"), running, F.struct("us", "seq", "kind", "error_code"))
         state = d.select(key, F.struct(
-            F.when(hit, F.struct("e.us", "e.seq")).otherwise(s("at")).alias("at"),
-            F.when(F.col("e.kind") == "complete", "COMPLETED").when(hit, "FAILED").otherwise(s("status")).alias("status"),
+            F.when(hit, F.struct("e.us", "e.seq")).when(over, F.struct(end.alias("us"), F.lit(_LAST).alias("seq"))).otherwise(s("at")).alias("at"),
+            F.when(F.col("e.kind") == "complete", "COMPLETED").when(hit | over, "FAILED").otherwise(s("status")).alias("status"),
             s("attempts").alias("attempts"),
-            F.when(F.col("e.kind") == "fail", F.col("e.error_code")).otherwise(s("error_code")).alias("error_code"),
-            s("started_us").alias("started_us"), F.when(hit, F.col("e.us")).otherwise(s("finished_us")).alias("finished_us")).alias("s"))
+            F.when(F.col("e.kind") == "fail", F.col("e.error_code")).when(over, STALE_CODE).otherwise(s("error_code")).alias("error_code"),
+            s("started_us").alias("started_us"), F.when(hit, F.col("e.us")).when(over, end).otherwise(s("finished_us")).alias("finished_us")).alias("s"))
     return state.select(key, *[s(c).alias(c) for c in ATTEMPT_COLUMNS])
 
 

@@ -40,27 +40,29 @@ def attempt_events(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("event_id") % 3 + 1).alias("token"), F.expr(FAIL_CODE).alias("error_code"))
 
 
+# The events of a user lie hours apart, so the limit on a running attempt is scaled to them.
+STALE_MINUTES = 7 * 1440
+
+
 def attempt_states(spark: SparkSession, sf: str) -> DataFrame:
-    d = lc.attempt_states(attempt_events(spark, sf))
+    d = lc.attempt_states(attempt_events(spark, sf), stale_minutes=STALE_MINUTES)
     return d.select("doc_id", "status", F.col("attempts").cast("long").alias("attempts"), "error_code", "started_us", "finished_us",
                     lc.can_retry(F.col("status"), F.col("attempts")).alias("can_retry"))
 
 
-def _started(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.table(spark, sf, "events").select(
-        F.col("event_id").alias("doc_id"), F.when(F.col("event_type") == "view", "PROCESSING").otherwise("FAILED").alias("status"),
-        F.lit(None).cast("string").alias("error_code"), lc.micros("ts").alias("started_us"), F.lit(None).cast("long").alias("finished_us"))
+AS_OF = 1_705_276_800_000_000  # 2024-01-15 00:00:00 UTC
 
 
-AS_OF = 1_705_276_800_000_000  # 2024-01-15 00:00:00 UTC
+def _at_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return lc.attempt_states(attempt_events(spark, sf), as_of_us=AS_OF)
 
 
 def stale_attempts(spark: SparkSession, sf: str) -> DataFrame:
-    return lc.sweep_stale(_started(spark, sf), F.lit(AS_OF)).select("doc_id", "status", "error_code", "finished_us")
+    return lc.sweep_stale(_at_sweep(spark, sf), F.lit(AS_OF), STALE_MINUTES).select("doc_id", "status", "error_code", "finished_us")
 
 
 def orphan_reset(spark: SparkSession, sf: str) -> DataFrame:
-    return lc.reset_orphans(_started(spark, sf), F.lit(AS_OF)).select("doc_id", "status", "error_code", "finished_us")
+    return lc.reset_orphans(_at_sweep(spark, sf), F.lit(AS_OF)).select("doc_id", "status", "error_code", "finished_us")
 
 
 def cooldown(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,8 +204,11 @@ _M = o.match_ctes()
 _ID = o.ANALYSIS_ID
 
 
-def _attempt_rounds() -> list[str]:
-    out = [f"e AS (SELECT user_id AS d, {KIND} AS kind, epoch_us(ts) AS us, event_id AS seq, event_id % 3 + 1 AS token, {FAIL_CODE} AS err FROM events)",
+def _attempt_rounds(limit_us: int | None, until: str = "TRUE") -> list[str]:
+    """CTEs ending in ``s6``: the state after three claims and outcomes; running attempts fail after ``limit_us``."""
+    due, over = ("TRUE", "FALSE") if limit_us is None else (f"e.us <= s.started + {limit_us}", "x IS NULL AND status = 'PROCESSING' AND n = {i}")
+    stop = f"started + {limit_us or 0}"
+    out = [f"e AS (SELECT user_id AS d, {KIND} AS kind, epoch_us(ts) AS us, event_id AS seq, event_id % 3 + 1 AS token, {FAIL_CODE} AS err FROM events WHERE {until})",
            "s0 AS (SELECT d, min((us, seq))  AS pt, 'PENDING' AS status, 0 AS n, NULL::varchar AS err, NULL::bigint AS started, NULL::bigint AS ended FROM e WHERE kind = 'upload' GROUP BY d)"]
     for i in (1, 2, 3):
         out.append(f"""a{i} AS (SELECT s.*, (SELECT min((e.us, e.seq)) FROM e WHERE e.d = s.d AND e.kind = 'claim' AND s.status IN ('PENDING', 'FAILED') AND s.n = {i - 1}
@@ -211,18 +216,19 @@ def _attempt_rounds() -> list[str]:
         out.append(f"""s{2 * i - 1} AS (SELECT d, coalesce(c, pt)  AS pt, CASE WHEN c IS NULL THEN status ELSE 'PROCESSING' END AS status, CASE WHEN c IS NULL THEN n ELSE {i} END AS n,
           CASE WHEN c IS NULL THEN err END AS err, CASE WHEN c IS NULL THEN started ELSE c[1] END AS started, CASE WHEN c IS NULL THEN ended END AS ended FROM a{i})""")
         out.append(f"""b{i} AS (SELECT s.*, (SELECT min((e.us, e.seq, e.kind, e.err)) FROM e WHERE e.d = s.d AND e.kind IN ('complete', 'fail') AND s.status = 'PROCESSING' AND s.n = {i}
-          AND e.token = {i} AND (e.us, e.seq) > s.pt) AS x FROM s{2 * i - 1} s)""")
-        out.append(f"""s{2 * i} AS (SELECT d, CASE WHEN x IS NULL THEN pt ELSE (x[1], x[2]) END  AS pt, CASE WHEN x IS NULL THEN status WHEN x[3] = 'complete' THEN 'COMPLETED' ELSE 'FAILED' END AS status,
-          n, CASE WHEN x[3] = 'fail' THEN x[4] WHEN x IS NULL THEN err END AS err, started, CASE WHEN x IS NULL THEN ended ELSE x[1] END AS ended FROM b{i})""")
+          AND e.token = {i} AND {due} AND (e.us, e.seq) > s.pt) AS x FROM s{2 * i - 1} s)""")
+        late = over.replace("{i}", str(i))
+        out.append(f"""s{2 * i} AS (SELECT d, CASE WHEN {late} THEN ({stop}, {2**63 - 1}) WHEN x IS NULL THEN pt ELSE (x[1], x[2]) END AS pt,
+          CASE WHEN {late} THEN 'FAILED' WHEN x IS NULL THEN status WHEN x[3] = 'complete' THEN 'COMPLETED' ELSE 'FAILED' END AS status, n,
+          CASE WHEN {late} THEN '{lc.STALE_CODE}' WHEN x[3] = 'fail' THEN x[4] WHEN x IS NULL THEN err END AS err, started,
+          CASE WHEN {late} THEN {stop} WHEN x IS NULL THEN ended ELSE x[1] END AS ended FROM b{i})""")
     return out
 
 
-_STARTED = "st AS (SELECT event_id AS doc_id, event_type = 'view' AS running, epoch_us(ts) AS us FROM events)"
-
-
 def _swept(which: str, code: str) -> str:
-    return f"""WITH {_STARTED} SELECT doc_id, CASE WHEN running AND NOT ({which}) THEN 'PROCESSING' ELSE 'FAILED' END AS status,
-      CASE WHEN running AND ({which}) THEN '{code}' END AS error_code, CASE WHEN running AND ({which}) THEN {AS_OF}::bigint END AS finished_us FROM st"""
+    return o.with_(*_attempt_rounds(None, f"epoch_us(ts) <= {AS_OF}"), f"st AS (SELECT *, status = 'PROCESSING' AND ({which}) AS swept FROM s6)") + f"""
+      SELECT d AS doc_id, CASE WHEN swept THEN 'FAILED' ELSE status END AS status, CASE WHEN swept THEN '{code}' ELSE err END AS error_code,
+      CASE WHEN swept THEN {AS_OF}::bigint ELSE ended END AS finished_us FROM st"""
 
 
 _DOCX_TEXT = r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(replace(text, chr(10), chr(10) || chr(10))), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '" \
@@ -231,9 +237,9 @@ _DOCX_TEXT = r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(replac
 ORACLES = {
     "range_request_count": f"""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
       RANGE BETWEEN {DAY * lc.SECOND - 1} PRECEDING AND CURRENT ROW) AS requests FROM events""",
-    "attempt_states": o.with_(*_attempt_rounds()) + """SELECT d AS doc_id, status, n::bigint AS attempts, err AS error_code, started AS started_us, ended AS finished_us,
+    "attempt_states": o.with_(*_attempt_rounds(STALE_MINUTES * 60 * lc.SECOND)) + """SELECT d AS doc_id, status, n::bigint AS attempts, err AS error_code, started AS started_us, ended AS finished_us,
       n < 3 AND status <> 'COMPLETED' AS can_retry FROM s6""",
-    "stale_attempts": _swept(f"us < {AS_OF} - 300000000", lc.STALE_CODE),
+    "stale_attempts": _swept(f"started < {AS_OF} - {STALE_MINUTES * 60 * lc.SECOND}", lc.STALE_CODE),
     "orphan_reset": _swept("TRUE", lc.RESTART_CODE),
     "cooldown": "SELECT event_id, cast(ceil(greatest(0, 10000000 - (event_id * 7919) % 12000000) / 1000000.0) as bigint) AS seconds FROM events WHERE event_type = 'error'",
     "duplicate_names": "SELECT lower(p_name) AS folded, count(*) AS copies FROM part GROUP BY 1 HAVING count(*) > 1",

@@ -64,16 +64,27 @@ def _attempts(n=300, seed=5):
              rnd.randint(1, 3), rnd.choice([lc.TIMEOUT_CODE, "CORRUPTED_DOCUMENT"])) for i in range(n)]
 
 
-def _fold(rows):
+def _fold(rows, limit_us=None, as_of=None):
     docs = {}
+
+    def time_out(s, now):
+        if limit_us is not None and s["status"] == "PROCESSING" and now > s["start"] + limit_us:
+            s.update(status="FAILED", err=lc.STALE_CODE, end=s["start"] + limit_us)
+
     for doc, kind, us, seq, token, err in sorted(rows, key=lambda r: (r[2], r[3])):
+        if as_of is not None and us > as_of:
+            continue
         s = docs.get(doc)
+        if s:
+            time_out(s, us)
         if kind == "upload":
             docs.setdefault(doc, dict(status="PENDING", n=0, err=None, start=None, end=None))
         elif s and kind == "claim" and s["status"] in ("PENDING", "FAILED") and s["n"] < 3 and not (s["err"] == lc.TIMEOUT_CODE and us < s["end"] + 10_000_000):
             s.update(status="PROCESSING", n=s["n"] + 1, err=None, start=us, end=None)
         elif s and kind in ("complete", "fail") and s["status"] == "PROCESSING" and token == s["n"]:
             s.update(status="COMPLETED" if kind == "complete" else "FAILED", err=None if kind == "complete" else err, end=us)
+    for s in docs.values():
+        time_out(s, float("inf") if as_of is None else as_of)
     return {d: (s["status"], s["n"], s["err"], s["start"], s["end"]) for d, s in docs.items()}
 
 
@@ -86,6 +97,23 @@ def test_attempt_states_equal_fold(spark):
     assert {r.doc_id: (r.status, r.attempts, r.error_code, r.started_us, r.finished_us) for r in d.collect()} == _fold(rows)
 
 
+def test_attempt_states_with_a_time_limit(spark):
+    rows = [r for seed in range(8) for r in ((d + 100 * seed, *rest) for d, *rest in _attempts(150, seed))]
+    events = spark.createDataFrame(rows, ATTEMPTS).cache()
+    for as_of in (None, 90_000_000):
+        d = lc.attempt_states(events, stale_minutes=1, as_of_us=as_of)
+        got = {r.doc_id: (r.status, r.attempts, r.error_code, r.started_us, r.finished_us) for r in d.collect()}
+        assert got == _fold(rows, 60_000_000, as_of)
+        assert {lc.STALE_CODE, None, lc.TIMEOUT_CODE} <= {v[2] for v in got.values()}
+
+
+def test_a_late_claim_follows_a_time_out(spark):
+    s = 1_000_000
+    rows = [(1, "upload", 0, 0, 0, None), (1, "claim", s, 1, 0, None), (1, "claim", 600 * s, 2, 0, None), (1, "complete", 601 * s, 3, 2, None)]
+    r = lc.attempt_states(spark.createDataFrame(rows, ATTEMPTS), stale_minutes=5).first()
+    assert (r.status, r.attempts, r.started_us, r.finished_us) == ("COMPLETED", 2, 600 * s, 601 * s)
+
+
 def _drain(stream, name, tmp_path):
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
     try:
@@ -127,9 +155,11 @@ def test_attempt_stream_equals_batch_and_sweeps(spark, tmp_path):
         last[r.doc_id] = (r.status, r.attempts, r.error_code)
     assert last == {d: v[:3] for d, v in _fold(rows).items()}
     _drain(jobs.attempt_stream(src, stale_minutes=5), "attempts_swept", tmp_path)
-    stuck = {d for d, v in _fold(rows).items() if v[0] == "PROCESSING"}
-    swept = {r.doc_id for r in spark.table("attempts_swept").collect() if r.error_code == lc.STALE_CODE}
-    assert stuck and stuck <= swept
+    limited = _fold(rows, 300_000_000)
+    swept = {}
+    for r in sorted(spark.table("attempts_swept").collect(), key=lambda r: (r.at_us, r.attempts)):
+        swept[r.doc_id] = (r.status, r.attempts, r.error_code)
+    assert swept == {d: v[:3] for d, v in limited.items()} and any(v[2] == lc.STALE_CODE for v in limited.values())
 
 
 def test_scoring_stream(spark, tmp_path):
