@@ -22,12 +22,14 @@ STATE = T.StructType([T.StructField("blob", T.StringType())])
 
 def _ordered_fold(events: DataFrame, key: str, ts: str, seq: str, fields: tuple[str, ...], output: T.StructType, delay: str,
                   initial: Callable[[], dict], step: Callable[[dict, dict], dict | None], on_time: Callable[[dict, int], list[dict]] | None = None,
-                  wake: Callable[[dict], int | None] | None = None) -> DataFrame:
+                  wake: Callable[[dict], int | None] | None = None, spent: Callable[[dict], int | None] | None = None) -> DataFrame:
     """Fold events per key in order behind the watermark.
 
     ``step(state, event)`` mutates the state and may return an output row;
     ``on_time(state, watermark_us)`` fires timers; ``wake(state)`` says when.
-    Waiting events are bounded by the watermark delay.
+    Waiting events are bounded by the watermark delay.  ``spent(state)`` says
+    from when on a key's state is of no more use (None: never); it is removed
+    once the watermark has passed that time and nothing waits.
     """
     zoneless = isinstance(events.schema[ts].dataType, T.TimestampNTZType)
     # Zone-less times become instants as UTC, whatever the session zone and its clock changes.
@@ -55,12 +57,15 @@ def _ordered_fold(events: DataFrame, key: str, ts: str, seq: str, fields: tuple[
                 rows.append(row)
         if on_time:
             rows += on_time(kept["fold"], mark)
-        state.update((json.dumps(kept),))
         due = [e["_us"] for e in kept["wait"][:1]]
+        ends = spent(kept["fold"]) if spent and not due else None
         later = wake(kept["fold"]) if wake else None
-        if later is not None:
-            due.append(later)
-        if due:
+        due += [t for t in (later, ends) if t is not None]
+        if ends is not None and ends <= mark:
+            state.remove()
+        else:
+            state.update((json.dumps(kept),))
+        if due and state.exists:
             state.setTimeoutTimestamp(max(min(due) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         names = output.fieldNames()
         if rows:
@@ -85,7 +90,10 @@ def rate_limit_stream(events: DataFrame, key: str, ts: str, seq: str, window_sec
             s["log"].append(e["_us"])
         return {seq: e[seq], "accepted": ok, "retry_after_seconds": wait}
 
-    return _ordered_fold(events, key, ts, seq, (), out, delay, lambda: {"log": []}, step)
+    def spent(s: dict) -> int:
+        return s["log"][-1] + us if s["log"] else 0
+
+    return _ordered_fold(events, key, ts, seq, (), out, delay, lambda: {"log": []}, step, spent=spent)
 
 
 ATTEMPT_OUTPUT = [T.StructField("seq", T.LongType()), T.StructField("at_us", T.LongType()), T.StructField("status", T.StringType()),
@@ -93,8 +101,12 @@ ATTEMPT_OUTPUT = [T.StructField("seq", T.LongType()), T.StructField("at_us", T.L
 
 
 def attempt_stream(events: DataFrame, key: str = "doc_id", ts: str = "ts", seq: str = "seq", delay: str = "1 minute",
-                   stale_minutes: int | None = None) -> DataFrame:
-    """Every applied status change per document; with ``stale_minutes`` also the stale sweep."""
+                   stale_minutes: int | None = None, forget_minutes: int | None = None) -> DataFrame:
+    """Every applied status change per document; with ``stale_minutes`` also the stale sweep.
+
+    With ``forget_minutes`` the state of a document that can change no more is
+    removed so long after its end; an upload that comes later begins anew.
+    """
     out = T.StructType([events.schema[key], *ATTEMPT_OUTPUT])
     limit, cool, timeout_code, stale_code = lc.MAX_ATTEMPTS, lc.COOLDOWN_SECONDS * lc.SECOND, lc.TIMEOUT_CODE, lc.STALE_CODE
     stale_us = None if stale_minutes is None else stale_minutes * 60 * lc.SECOND
@@ -125,8 +137,14 @@ def attempt_stream(events: DataFrame, key: str = "doc_id", ts: str = "ts", seq:
     def wake(s: dict) -> int | None:
         return s["start"] + stale_us + 1000 if stale_us is not None and s["status"] == "PROCESSING" else None
 
+    def spent(s: dict) -> int | None:
+        if s["status"] is None:
+            return 0
+        final = s["status"] == "COMPLETED" or (s["status"] == "FAILED" and s["attempts"] >= limit)
+        return s["end"] + forget_minutes * 60 * lc.SECOND if final and forget_minutes is not None else None
+
     return _ordered_fold(events, key, ts, seq, ("kind", "token", "error_code"), out, delay,
-                         lambda: {"status": None, "attempts": 0, "error": None, "start": 0, "end": 0}, step, on_time, wake)
+                         lambda: {"status": None, "attempts": 0, "error": None, "start": 0, "end": 0}, step, on_time, wake, spent)
 
 
 def score_documents(resumes: DataFrame) -> DataFrame:

@@ -115,9 +115,11 @@ def test_a_late_claim_follows_a_time_out(spark):
 
 
 def _drain(stream, name, tmp_path):
+    """Runs a stream to its end; returns the rows left in its state store."""
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
     try:
         q.processAllAvailable()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress["stateOperators"] else 0
     finally:
         q.stop()
 
@@ -135,7 +137,8 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     for t in tail:
         _write(spark.createDataFrame([t], SCHEMA), tmp_path, "in")
     src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
-    _drain(jobs.rate_limit_stream(src, "user_id", "ts", "event_id", 60, 3), "limits", tmp_path)
+    left = _drain(jobs.rate_limit_stream(src, "user_id", "ts", "event_id", 60, 3), "limits", tmp_path)
+    assert left <= 1  # the key of the last rows; the logs of all others are empty and gone
     got = {r.event_id: (r.accepted, None if r.retry_after_seconds is None else int(r.retry_after_seconds)) for r in spark.table("limits").collect()}
     want = _brute(rows)
     assert {k: v for k, v in got.items() if k < 10_000} == want
@@ -159,6 +162,9 @@ def test_attempt_stream_equals_batch_and_sweeps(spark, tmp_path):
     swept = {}
     for r in sorted(spark.table("attempts_swept").collect(), key=lambda r: (r.at_us, r.attempts)):
         swept[r.doc_id] = (r.status, r.attempts, r.error_code)
+    left = _drain(jobs.attempt_stream(src, stale_minutes=5, forget_minutes=60), "attempts_forgotten", tmp_path)
+    final = {d for d, v in limited.items() if v[0] == "COMPLETED" or v[1] == lc.MAX_ATTEMPTS}
+    assert left <= len(limited) - len(final) + 1 and spark.table("attempts_forgotten").count() == spark.table("attempts_swept").count()
     assert swept == {d: v[:3] for d, v in limited.items()} and any(v[2] == lc.STALE_CODE for v in limited.values())
 
 
