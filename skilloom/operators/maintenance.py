@@ -104,6 +104,10 @@ def length_between(c: str, low: int, high: int) -> Column:
     return F.coalesce((n >= low) & (n <= high), F.lit(False))
 
 
+def one_of(c: str, *values: str) -> Column:
+    return F.coalesce(F.col(c).isin(*values), F.lit(False))
+
+
 ANALYSIS_RULES = {f"{c}_0_100": (c, 0.0, 100.0) for c in
                   ("overall_score", "skill_score", "experience_score", "project_score", "education_score", "quality_score")}
 
@@ -113,11 +117,17 @@ def analysis_rules() -> dict[str, Column]:
 
 
 def item_rules() -> dict[str, Column]:
-    return {"status_enum": F.col("status").isin("MATCHED", "MISSING", "PARTIAL"),
+    return {"status_enum": one_of("status", "MATCHED", "MISSING", "PARTIAL"),
             "similarity_0_100": in_range("similarity_score", 0.0, 100.0, nullable=True),
             "confidence_0_1": in_range("confidence", 0.0, 1.0)}
 
 
+def resume_rules() -> dict[str, Column]:
+    return {"extraction_status_enum": one_of("extraction_status", "PENDING", "PROCESSING", "COMPLETED", "FAILED"),
+            "file_size_min_0": F.coalesce(F.col("file_size") >= 0, F.lit(True)),
+            "processing_attempts_min_0": F.coalesce(F.col("processing_attempts") >= 0, F.lit(False))}
+
+
 def job_rules() -> dict[str, Column]:
     return {"title_3_255": length_between("title", 3, 255), "description_20_50000": length_between("description", 20, 50_000)}
 

@@ -83,6 +83,28 @@ def constraint_audit(spark: SparkSession, sf: str) -> DataFrame:
             .unionByName(mt.audit(feeds.table(spark, sf, "documents"), {"text_20_2000": mt.length_between("text", 20, 2000)})))
 
 
+# Stored records as an audit meets them: the tables' own values fall on both sides of every bound, some are missing.
+STORED_RESUME = {"extraction_status": "CASE c_custkey % 9 WHEN 0 THEN 'completed' WHEN 1 THEN NULL WHEN 2 THEN 'FAILED' ELSE 'COMPLETED' END",
+                 "file_size": "CASE WHEN c_custkey % 5 <> 0 THEN cast(floor(c_acctbal) AS bigint) END",
+                 "processing_attempts": "CASE WHEN c_custkey % 11 <> 0 THEN c_nationkey - 2 END"}
+STORED_ITEM = {"status": "CASE l_linenumber WHEN 1 THEN 'MATCHED' WHEN 2 THEN 'MISSING' WHEN 3 THEN 'PARTIAL' WHEN 4 THEN 'matched' END",
+               "similarity_score": "CASE WHEN l_linenumber < 6 THEN cast(l_quantity AS double) * 2.5 - 5 END",
+               "confidence": "CASE WHEN l_linenumber < 7 THEN cast(l_discount AS double) * 16 END"}
+STORED_ANALYSIS = {f: f"CASE WHEN o_orderkey % 50 <> {i} THEN cast(o_totalprice AS double) / {1000 * (i + 3)} - {i} END"
+                   for i, (f, _, _) in enumerate(mt.ANALYSIS_RULES.values())}
+STORED_JOB = {"title": "CASE WHEN p_size % 7 <> 0 THEN repeat(p_name, cast(p_size % 20 AS int)) END",
+              "description": "CASE WHEN p_size % 10 <> 0 THEN repeat(p_brand, cast(p_size * (p_partkey % 200) AS int)) END"}
+
+
+def stored_record_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Range, enum and length rules over stored records, with the number of rows that break each."""
+    def rows(name: str, fields: dict[str, str]) -> DataFrame:
+        return feeds.table(spark, sf, name).select(*[F.expr(e).alias(c) for c, e in fields.items()])
+
+    return (mt.audit(rows("customer", STORED_RESUME), mt.resume_rules()).unionByName(mt.audit(rows("lineitem", STORED_ITEM), mt.item_rules()))
+            .unionByName(mt.audit(rows("orders", STORED_ANALYSIS), mt.analysis_rules())).unionByName(mt.audit(rows("part", STORED_JOB), mt.job_rules())))
+
+
 def metadata_backfill(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     d = feeds.table(spark, sf, "customer").select(
@@ -194,7 +216,7 @@ def file_admission(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    range_request_count, rate_limit_decisions, attempt_states, stale_attempts, orphan_reset, cooldown, duplicate_names, constraint_audit,
+    range_request_count, rate_limit_decisions, attempt_states, stale_attempts, orphan_reset, cooldown, duplicate_names, constraint_audit, stored_record_audit,
     metadata_backfill, retention_resume_delete, retention_user_delete, retention_analysis_delete, catalog_delete_blockers, catalog_upsert,
     job_upsert, json_merge, docx_text, file_admission)}
 
@@ -246,6 +268,19 @@ ORACLES = {
     "constraint_audit": "SELECT rule, 0::bigint AS violations FROM (VALUES " + ", ".join(
         f"('{r}')" for r in [*mt.ANALYSIS_RULES, "status_enum", "similarity_0_100", "confidence_0_1", "title_3_255", "description_20_50000"])
         + f") t(rule) UNION ALL SELECT 'text_20_2000', count(*) FROM documents WHERE NOT (length({o.trim('text')}) BETWEEN 20 AND 2000)",
+    "stored_record_audit": " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE {broken}) AS violations FROM (SELECT {', '.join(f'{e} AS {c}' for c, e in fields.items())} FROM {name})"
+        for name, fields, rule, broken in (
+            ("customer", STORED_RESUME, "extraction_status_enum", "extraction_status IS NULL OR extraction_status = 'completed'"),
+            ("customer", STORED_RESUME, "file_size_min_0", "file_size < 0"),
+            ("customer", STORED_RESUME, "processing_attempts_min_0", "processing_attempts IS NULL OR processing_attempts < 0"),
+            ("lineitem", STORED_ITEM, "status_enum", "status IS NULL OR status = 'matched'"),
+            ("lineitem", STORED_ITEM, "similarity_0_100", "similarity_score < 0 OR similarity_score > 100"),
+            ("lineitem", STORED_ITEM, "confidence_0_1", "confidence IS NULL OR confidence < 0 OR confidence > 1"),
+            *(("orders", STORED_ANALYSIS, r, f"{c} IS NULL OR {c} < 0 OR {c} > 100") for r, (c, _, _) in mt.ANALYSIS_RULES.items()),
+            ("part", STORED_JOB, "title_3_255", f"title IS NULL OR length({o.trim('title')}) < 3 OR length({o.trim('title')}) > 255"),
+            ("part", STORED_JOB, "description_20_50000",
+             f"description IS NULL OR length({o.trim('description')}) < 20 OR length({o.trim('description')}) > 50000"))),
     "metadata_backfill": """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END AS file_size,
       CASE WHEN c_custkey % 3 = 0 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime_type,
       CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 4 ELSE 0 END AS processing_attempts FROM customer""",
