@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("html", "ngram", "sentencepieces", "quality", "token_counts", "simhash", "packing", "secrets", "licenses", "merkle")
+MODULES = ("html", "ngram", "sentencepieces", "quality", "token_counts", "simhash", "packing", "secrets", "licenses", "merkle", "infilling",
+           "centroids", "neighbours")
 
 
 def _merged(attr: str) -> dict:
