@@ -53,7 +53,7 @@ NEAREST, EVERY, RECALL, CALIBRATION = 5, 50, 0.95, 256
 #: Vectors (about) that the tree is fitted on, children of a node, sample vectors of a leaf, rounds of k-means.
 SAMPLE, BRANCH, LEAF, ROUNDS = 8192, 8, 32, 8
 #: Entries of a block and queries of a shard; queries that are scored at once.
-BLOCK_ROWS, BLOCK_QUERIES, CHUNK = 8192, 1024, 128
+BLOCK_ROWS, BLOCK_QUERIES, CHUNK = 1024, 1024, 128
 #: How far a matrix product of unit vectors may be off the exact cosine, with much to spare.
 MARGIN = 1e-11
 
