@@ -12,7 +12,7 @@ sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve
 import corpus_pipeline  # noqa: E402
 from skilloom.llm import quality, secrets, vocabulary  # noqa: E402
 from skilloom.llm.common import DOCUMENT_COLUMNS  # noqa: E402
-from test_operators import naive_fingerprint, naive_groups  # noqa: E402
+from test_nearcopies import naive_kept  # noqa: E402
 from test_secrets import OWNED, base_spans  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -40,11 +40,8 @@ def test_whole_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r["doc_id"] for r in quality.judged(docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("kept").collect()}
     rows = [r for r in docs.collect() if r["doc_id"] in kept]
-    marks = {r["doc_id"]: naive_fingerprint(r["text"]) for r in rows}
-    group, least = naive_groups(marks.values()), {}
-    for i in sorted(marks):
-        least.setdefault(group[marks[i]], i)
-    rows = [r for r in rows if r["doc_id"] in set(least.values())]
+    first = set(naive_kept([(r["doc_id"], r["text"]) for r in rows]))
+    rows = [r for r in rows if r["doc_id"] in first]
     encode = Tokenizer.from_file(vocabulary.default_path()).encode
     want = {r["doc_id"]: encode(t, add_special_tokens=False).ids + [1] for r, t in zip(rows, mask_all(rows), strict=True)}
     got = defaultdict(list)
