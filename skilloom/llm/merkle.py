@@ -11,8 +11,11 @@ were edited.
 
 Likeness is the share of leaves in equal branches: whole sections that both
 trees hold, then whole paragraphs of the other sections, then leaves of the
-other paragraphs, as twice the shared leaves over the leaves of both (1 for
-equal texts, 0 without a common leaf).
+other paragraphs, as twice the shared leaves over the leaves of both (0 without
+a common leaf).  The root counts as one more leaf on each side, so that only
+equal texts reach 1 and moved lines do not.  A branch that occurs n times in one tree
+and m times in the other is shared min(n, m) times; for that, the occurrences
+of equal branches are numbered after a sort, so the time stays that of a sort.
 
 Each document is compared with its edited text and with the next document.
 Documents are dealt into ranges of ``doc_id`` at quantiles of the ids, so each
@@ -54,18 +57,26 @@ def written(tree: str, text: str) -> str:
     return f"concat(substring(sha2({text}, 256), 1, {ROOT}), '/', array_join(transform({tree}, s -> {section}), ''))"
 
 
+def occurrences(branches: str) -> str:
+    """SQL for the branches of an array with ``#1``, ``#2``, ... behind equal ones, in order of their names."""
+    begins = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] <> s[i - 1])"
+    run = "transform(sequence(1, coalesce(get(begins, j + 1), size(s)) - at), n -> concat(s[at], '#', n))"
+    return (f"transform(array(array_sort({branches})), s -> if(size(s) = 0, s, flatten(transform(array({begins}), begins -> "
+            f"flatten(transform(begins, (at, j) -> {run}))))))[0]")
+
+
 def likeness(a: str, b: str) -> str:
     """SQL for the likeness of two fingerprints: 0 to 1, opening only branches that differ."""
-    sections = "filter(split(split_part({}, '/', 2), r'\\)'), x -> x <> '')"
-    opened = "flatten(transform({}, x -> split(split_part(x, '(', 2), ',')))"
-    leaves = "array_distinct(flatten(transform({}, x -> split(split_part(x, ':', 2), r'\\.'))))"
+    sections = occurrences("filter(split(split_part({}, '/', 2), r'\\)'), x -> x <> '')")
+    opened = occurrences("flatten(transform({}, x -> split(split_part(split_part(x, '#', 1), '(', 2), ',')))")
+    leaves = occurrences("flatten(transform({}, x -> split(split_part(split_part(x, '#', 1), ':', 2), r'\\.')))")
     count = "aggregate({}, 0, (n, x) -> n + length(x) - length(replace(replace(x, ':', ''), '.', '')))"
     return f"""if({a} = {b}, 1D, transform(array(named_struct('a', {sections.format(a)}, 'b', {sections.format(b)})), s ->
         transform(array(named_struct('same', {count.format('array_intersect(s.a, s.b)')},
             'a', {opened.format('array_except(s.a, s.b)')}, 'b', {opened.format('array_except(s.b, s.a)')})), p ->
         transform(array(named_struct('same', p.same + {count.format('array_intersect(p.a, p.b)')},
             'a', {leaves.format('array_except(p.a, p.b)')}, 'b', {leaves.format('array_except(p.b, p.a)')})), l ->
-        2D * (l.same + size(array_intersect(l.a, l.b))) / (2 * l.same + size(l.a) + size(l.b)))[0])[0])[0])"""
+        2D * (l.same + size(array_intersect(l.a, l.b))) / (2 * l.same + size(l.a) + size(l.b) + 2))[0])[0])[0])"""
 
 
 def edited_paragraphs(a: str, b: str) -> str:
@@ -126,26 +137,31 @@ def _oracle() -> str:
                    f"sha256(array_to_string(list_transform(ps, lambda p: string_split(p, ':')[1]), '.'))[1:{NODE}] || '(' || array_to_string(ps, ',') || ')')")
         return f"sha256({text})[1:{ROOT}] || '/' || array_to_string({section}, '')"
 
-    def near(a: str, b: str) -> str:
-        minus = lambda x, y: f"list_filter(list_distinct({x}), lambda q: NOT list_contains({y}, q))"
-        return f"""(SELECT CASE WHEN {a} = {b} THEN 1.0 ELSE 2.0 * (m2 + len(list_intersect(la, lb))) / (2 * m2 + len(la) + len(lb)) END::DOUBLE FROM
- (SELECT m + coalesce(list_sum(list_transform(list_intersect(pa, pb), lambda x: len(string_split(string_split(x, ':')[2], '.')))), 0) AS m2,
-  list_distinct(flatten(list_transform({minus('pa', 'pb')}, lambda x: string_split(string_split(x, ':')[2], '.')))) AS la,
-  list_distinct(flatten(list_transform({minus('pb', 'pa')}, lambda x: string_split(string_split(x, ':')[2], '.')))) AS lb FROM
- (SELECT coalesce(list_sum(list_transform(list_intersect(sa, sb), lambda x: length(x) - length(replace(replace(x, ':', ''), '.', '')))), 0) AS m,
-  flatten(list_transform({minus('sa', 'sb')}, lambda x: string_split(string_split(x, '(')[2], ','))) AS pa,
-  flatten(list_transform({minus('sb', 'sa')}, lambda x: string_split(string_split(x, '(')[2], ','))) AS pb FROM
- (SELECT list_filter(string_split(string_split({a}, '/')[2], ')'), lambda x: x <> '') AS sa, list_filter(string_split(string_split({b}, '/')[2], ')'), lambda x: x <> '') AS sb))))"""
+    leaves = "length({0}) - length(replace(replace({0}, ':', ''), '.', ''))"
+
+    def level(name: str, of: str, cut: str) -> str:
+        """How often each branch below what is left of a level occurs on both sides, and how often in both."""
+        return (f"{name} AS (SELECT id, kind, x, sum(na) AS na, sum(nb) AS nb, least(sum(na), sum(nb)) AS n FROM "
+                f"(SELECT id, kind, unnest({cut}) AS x, na, nb FROM {of}) WHERE x <> '' GROUP BY id, kind, x)")
 
+    left = "(SELECT id, kind, x, na - n AS na, nb - n AS nb FROM {} WHERE na <> nb)"
     return f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-f AS (SELECT doc_id, text, length(text) AS n_chars, {fingerprint('text')} AS fingerprint FROM t),
+WITH t AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS id, doc_id, text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+f AS (SELECT id, doc_id, text, length(text) AS n_chars, {fingerprint('text')} AS fingerprint FROM t),
 n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(fingerprint) OVER w, first_value(fingerprint) OVER w) AS next_fingerprint
- FROM f WINDOW w AS (ORDER BY doc_id NULLS FIRST, text)),
+ FROM f WINDOW w AS (ORDER BY id)),
 e AS (SELECT *, left(text, n_chars - n_chars // 2) || left(next_text, n_chars // 2) AS edited FROM n),
-g AS (SELECT *, {fingerprint('edited')} AS edited_fingerprint FROM e)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {near('fingerprint', 'edited_fingerprint')} AS near_edited,
- {near('fingerprint', 'next_fingerprint')} AS near_next FROM g"""
+g AS MATERIALIZED (SELECT *, {fingerprint('edited')} AS edited_fingerprint FROM e),
+pairs AS MATERIALIZED (SELECT id, 'edited' AS kind, fingerprint AS a, edited_fingerprint AS b FROM g UNION ALL SELECT id, 'next', fingerprint, next_fingerprint FROM g),
+sides AS (SELECT id, kind, split_part(a, '/', 2) AS part, 1 AS na, 0 AS nb FROM pairs UNION ALL SELECT id, kind, split_part(b, '/', 2), 0, 1 FROM pairs),
+{level('s', 'sides', "string_split(part, ')')")},
+{level('p', left.format('s'), "string_split(split_part(x, '(', 2), ',')")},
+{level('l', left.format('p'), "string_split(split_part(x, ':', 2), '.')")},
+shared AS (SELECT id, kind, sum(n) AS n FROM (SELECT id, kind, n * ({leaves.format('x')}) AS n FROM s UNION ALL SELECT id, kind, n * ({leaves.format('x')}) FROM p
+ UNION ALL SELECT id, kind, n FROM l) GROUP BY id, kind),
+near AS (SELECT id, kind, CASE WHEN a = b THEN 1.0 ELSE 2.0 * n / ({leaves.format("split_part(a, '/', 2)")} + {leaves.format("split_part(b, '/', 2)")} + 2) END::DOUBLE AS near FROM pairs JOIN shared USING (id, kind))
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, x.near AS near_edited, y.near AS near_next
+FROM g JOIN near x ON x.id = g.id AND x.kind = 'edited' JOIN near y ON y.id = g.id AND y.kind = 'next'"""
 
 
 QUERIES = {"op10_merkle_fingerprints": op10_merkle_fingerprints}

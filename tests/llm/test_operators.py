@@ -314,6 +314,39 @@ def test_license_places(spark, duck):
     assert got[2]["own"] == ["apache-2.0", "mpl-2.0"] or set(got[2]["own"]) >= {"apache-2.0", "mpl-2.0"}
 
 
+def naive_likeness(a, b):
+    """Shared leaves with multiplicity, level by level, over the parsed trees."""
+    if a == b:
+        return 1.0
+    cut = lambda f: Counter(x for x in f.split("/")[1].split(")") if x)
+    below = {1: lambda x: x.split("(")[1].split(","), 2: lambda x: x.split(":")[1].split(".")}
+    size = lambda x: x.count(":") + x.count(".")
+    one, two, shared = cut(a), cut(b), 0
+    total = sum(size(x) * n for c in (one, two) for x, n in c.items())
+    for depth in (1, 2, 3):
+        both = one & two
+        shared += sum(n * (size(x) if depth < 3 else 1) for x, n in both.items())
+        if depth < 3:
+            one, two = (sum((Counter({y: n * m for y, m in Counter(below[depth](x)).items()}) for x, n in (c - both).items()), Counter()) for c in (one, two))
+    return 2 * shared / (total + 2)
+
+
+def test_merkle_likeness_counts_repeats(spark):
+    rng = random.Random(9)
+    lines = ["x, y.", "a; b", "one. two. two.", ""]
+    texts = ["x, y.\nx, y.\nx, y.\nx, y.", "x, y.", "\n".join(["same line"] * 1000), "\n".join(["same line"] * 500 + [f"other {i}" for i in range(500)])]
+    texts += ["\n".join(rng.choice(lines) for _ in range(rng.randrange(12))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = [r["fingerprint"] for r in merkle.fingerprints(docs).orderBy("doc_id").collect()]
+    pairs = [(i, j, marks[i], marks[j]) for i in range(len(marks)) for j in range(len(marks))]
+    got = spark.createDataFrame(pairs, "i int, j int, a string, b string").selectExpr("i", "j", f"{merkle.likeness('a', 'b')} as near").collect()
+    near = {(r["i"], r["j"]): r["near"] for r in got}
+    assert near[0, 1] == 4 / 12 and near[2, 3] == 1000 / 2002
+    for i, j, a, b in pairs:
+        assert abs(near[i, j] - naive_likeness(a, b)) < 1e-12, (texts[i], texts[j])
+        assert (near[i, j] == 1) == (texts[i] == texts[j])
+
+
 def test_merkle_finds_the_edit(spark):
     a, b = "one. two.\nthree, four.\n\nfive.", "one. two.\nthree, 4.\n\nfive."
     docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
