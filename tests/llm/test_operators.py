@@ -352,4 +352,4 @@ def test_merkle_finds_the_edit(spark):
     docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
     one, two = (r["fingerprint"] for r in merkle.fingerprints(docs).orderBy("doc_id").collect())
     diff = spark.createDataFrame([(one, two)], "a string, b string").selectExpr(f"{merkle.edited_paragraphs('a', 'b')} as d", f"{merkle.likeness('a', 'b')} as n").first()
-    assert len(diff["d"]) == 1 and diff["n"] == pytest.approx(2 * 4 / 10)
+    assert len(diff["d"]) == 1 and diff["n"] == pytest.approx(2 * 4 / 12)
