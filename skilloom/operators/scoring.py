@@ -227,6 +227,19 @@ def summarise_items(items: DataFrame, *keys: str) -> DataFrame:
         "preferred_coverage": F.when(n_pref > 0, js.round_half_up(F.col("matched_preferred_count") / n_pref, 3)).otherwise(0.0)})
 
 
+def match_lists(applications: DataFrame, resumes: DataFrame, jobs: DataFrame, skills: tuple[Skill, ...] = SKILLS) -> DataFrame:
+    """resume_id, job_id and the sorted names required_matched, required_missing, preferred_matched, preferred_missing of each eligible
+    pair: what claims are held against, without scores and evidence."""
+    ok = resumes.filter(analysis_reject_code(F.col("extraction_status"), F.col("extracted_text")).isNull())
+    held = with_skills(ok, "extracted_text", "skills", skills).select("resume_id", F.expr("transform(skills, s -> s.skill_pos)").alias("held"))
+    wanted = job_features(jobs, skills).select("job_id", "required_pos", "preferred_pos")
+    names = literal_array([s.name for s in skills])
+    d = applications.select("resume_id", "job_id").join(wanted, "job_id").join(held, "resume_id")
+    return d.select("resume_id", "job_id", *[
+        F.expr(f"array_sort(transform(filter({kind}_pos, p -> {no}array_contains(held, p)), p -> {names}[p]))").alias(f"{kind}_{status}")
+        for kind in ("required", "preferred") for status, no in (("matched", ""), ("missing", "NOT "))])
+
+
 # --- ranking, history, digests -----------------------------------------------
 
 def top_applicants(analyses: DataFrame, k: int = 5) -> DataFrame:
