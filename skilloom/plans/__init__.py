@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("matching", "reporting", "documents", "claims", "operations")
+AREAS = ("matching", "reporting", "documents", "claims", "operations", "storage")
 
 
 def _merged(attr: str) -> dict:

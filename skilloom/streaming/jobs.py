@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skilloom.operators import lifecycle as lc
 from skilloom.operators.requirements import with_requirements
 from skilloom.operators.skills import with_skills
+from skilloom.sources import store
 
 STATE = T.StructType([T.StructField("blob", T.StringType())])
 
@@ -155,3 +157,17 @@ def score_documents(resumes: DataFrame) -> DataFrame:
 def score_jobs(jobs: DataFrame) -> DataFrame:
     """Stateless: new job rows get their requirements."""
     return with_requirements(jobs, "description")
+
+
+def into_store(rows: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, name: str, checkpoint: str) -> DataStreamWriter:
+    """Writer that scores every micro-batch and commits it to the store at ``path`` as batch ``name/<batch id>``.
+
+    The checkpoint gives a replayed micro-batch the same id and rows, and the
+    store takes an id once, so a run that dies between the two commits neither
+    loses nor repeats anything.  Streams of several sides may share a store under
+    names of their own.
+    """
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        store.write_analyses(score(batch), path, f"{name}/{batch_id}")
+
+    return rows.writeStream.queryName(name).foreachBatch(commit).option("checkpointLocation", checkpoint)
