@@ -122,6 +122,11 @@ def retention_resume_delete(spark: SparkSession, sf: str) -> DataFrame:
     return mt.detach_deleted(_parents(spark, sf), gone, "resume_id")
 
 
+def retention_job_delete(spark: SparkSession, sf: str) -> DataFrame:
+    gone = feeds.table(spark, sf, "part").filter(F.col("p_size") <= 10).select(F.col("p_partkey").alias("job_id"))
+    return mt.detach_deleted(_parents(spark, sf), gone, "job_id")
+
+
 def retention_user_delete(spark: SparkSession, sf: str) -> DataFrame:
     a = materialize(_analyses(spark, sf, items=True), "analyses")
     users = feeds.table(spark, sf, "nation").select(F.col("n_nationkey").alias("user_id"), "n_regionkey")
@@ -217,7 +222,7 @@ def file_admission(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     range_request_count, rate_limit_decisions, attempt_states, stale_attempts, orphan_reset, cooldown, duplicate_names, constraint_audit, stored_record_audit,
-    metadata_backfill, retention_resume_delete, retention_user_delete, retention_analysis_delete, catalog_delete_blockers, catalog_upsert,
+    metadata_backfill, retention_resume_delete, retention_job_delete, retention_user_delete, retention_analysis_delete, catalog_delete_blockers, catalog_upsert,
     job_upsert, json_merge, docx_text, file_admission)}
 
 # --- SQL twins ---------------------------------------------------------------
@@ -286,6 +291,9 @@ ORACLES = {
       CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 4 ELSE 0 END AS processing_attempts FROM customer""",
     "retention_resume_delete": o.with_(*_M) + f"""SELECT {_ID.replace('job_id', 's.job_id')} AS analysis_id, s.user_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE resume_id END AS resume_id,
       s.job_id, file_name AS resume_file_name, title AS job_title, overall_score FROM v_scores s JOIN v_jobs j ON j.job_id = s.job_id JOIN customer ON c_custkey = resume_id""",
+    "retention_job_delete": o.with_(*_M) + f"""SELECT {_ID.replace('job_id', 's.job_id')} AS analysis_id, s.user_id, resume_id,
+      CASE WHEN p_size <= 10 THEN NULL ELSE s.job_id END AS job_id, file_name AS resume_file_name, title AS job_title, overall_score
+      FROM v_scores s JOIN v_jobs j ON j.job_id = s.job_id JOIN part ON p_partkey = s.job_id""",
     "retention_user_delete": o.with_(*_M, "gone AS (SELECT n_nationkey AS user_id FROM nation WHERE n_regionkey = 1)") + """
       SELECT 'users' AS entity, count(*) AS kept FROM nation WHERE n_regionkey <> 1
       UNION ALL SELECT 'resumes', count(*) FROM v_resumes WHERE user_id NOT IN (SELECT user_id FROM gone)

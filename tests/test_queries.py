@@ -14,7 +14,8 @@ from skilloom.plans import all_oracles as oracle_sql, all_queries as queries  #
 SF = "/root/testdata/sf0.001"
 DEFAULT = ["top_applicants_per_job", "resume_skills", "job_requirements", "quality_deductions", "pii_redacted_documents", "clean_text",
            "readability_check", "verify_snippets", "term_matches_in_documents", "claim_violations", "range_request_count", "attempt_states",
-           "catalog_upsert", "docx_text", "stored_record_audit", "stale_attempts"]
+           "catalog_upsert", "docx_text", "stored_record_audit", "stale_attempts", "ground_strategy", "freshness_states", "comparison_freshness",
+           "profile_freshness", "refreshed_scores", "persisted_analyses", "summary_coercion", "retention_job_delete"]
 NAMES = list(oracle_sql()) if os.environ.get("RUN_ALL") else DEFAULT
 
 
