@@ -20,7 +20,8 @@ and "'ll", and within the string of an added token (which is one token when
 whole, as the library has it by default).
 
 Defined cases: null and empty texts have no tokens; repeated rows give
-repeated rows; texts of any length are encoded whole; extra input columns are
+repeated rows; an empty table gives an empty one; texts of any length are
+encoded whole, in time that grows with their length; extra input columns are
 ignored.
 """
 
@@ -154,20 +155,20 @@ class PrefixCounter:
         """counts[i]: tokens of the first i + 1 code points."""
         if self.cut is None or not any(a in text for a in self.added):
             return self.plain(text)
-        out, total = [], 0
-        for i, part in enumerate(self.cut.split(text)):
-            if not part:
-                continue
+        out, total, own = [], 0, 0  # own: tokens of the ordinary part before
+        parts = self.cut.split(text)
+        for i, part in enumerate(parts):
             if i % 2:  # an added token: its own prefixes are ordinary text that goes on where the last part ended
-                before = self.cut.split(text)[i - 1]
-                base = total - (int(self.plain(before)[-1]) if before else 0)
-                inner = self.plain(before + part)[len(before):-1].astype(np.int64) + base
+                before = parts[i - 1]
+                inner = self.plain(before + part)[len(before):-1].astype(np.int64) + (total - own)
                 total += 1
                 out.append(np.append(inner, total))
-            else:
+            elif part:
                 counts = self.plain(part).astype(np.int64) + total
-                total = int(counts[-1])
+                own, total = int(counts[-1]) - total, int(counts[-1])
                 out.append(counts)
+            else:
+                own = 0
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def plain(self, text: str, pieces: list[str] | None = None) -> np.ndarray:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -202,6 +203,24 @@ def test_counts_at_every_prefix(tokenizer):
         assert counts.tolist() == [len(tokenizer.encode(text[:i + 1], add_special_tokens=False).ids) for i in range(len(text))]
 
 
+def test_many_added_tokens(tokenizer):
+    """Exact at every prefix between added tokens, and eight times the text takes far less than 64 times the time."""
+    count = token_counts.PrefixCounter(vocabulary.default_path())
+    added = max(count.added, key=len)
+    text = "".join(f"{added}{w}" for w in ("", "a b", "", "  ", "é'll", " \n")) + added
+    assert count(text).tolist() == [len(tokenizer.encode(text[:i + 1], add_special_tokens=False).ids) for i in range(len(text))]
+
+    def seconds(n):
+        long = f"some words {added}" * n
+        start = time.perf_counter()
+        assert count(long)[-1] == len(tokenizer.encode(long, add_special_tokens=False).ids)
+        return time.perf_counter() - start
+
+    seconds(100)
+    short = seconds(2500)
+    assert seconds(20_000) < 24 * short
+
+
 def test_truncated_and_prefix_table(edges, tokenizer):
     cut = {r["doc_id"]: r["text"] for r in token_counts.truncated(edges, 7).collect()}
     assert all(len(tokenizer.encode(t, add_special_tokens=False).ids) <= 7 for t in cut.values()) and cut[0] == ""
