@@ -14,11 +14,12 @@ per repository and map task.  The candidates' join with the verdicts is an ordin
 Spark may split.
 
 Positions come from splitting a text at its matches: the lengths of the parts
-and the matches add up to code-point offsets.
+and the matches add up to code-point offsets, in running sums over chunks, so
+that a text with many matches takes little more than time in proportion.
 
 Defined cases: null texts are empty and have no spans; repeated rows are each
 reported, and count once per repository; a null owner is an owner of its own;
-texts of any length are searched whole; extra input columns are ignored.
+an empty table gives an empty one; texts of any length are searched whole; extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,26 +41,56 @@ OWNED = (r"(?:gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-
          r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9][A-Za-z+/_-]*[0-9][A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,})")
 #: A value of this many owners or more, or of this many repositories, is a copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 5, 12
+#: Elements that are folded at once where an array is built by a fold.
+CHUNK = 128
 
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+def _running(numbers: str, joined: str) -> str:
+    """SQL for the running ``joined`` ({a}, {b}; the first {a} is null) of an int array.
+
+    An array that grows by one element a step is copied at every step, so the
+    array is worked through in chunks, and their ends in a second pass.
+    """
+    last = "get({0}, size({0}) - 1)"
+    step = lambda acc, x: f"array_append({acc}, {joined.format(a=last.format(acc), b=x)})"
+    chunks = (f"transform(sequence(0, greatest(size(__a) - 1, 0) div {CHUNK}), __i -> aggregate(slice(__a, __i * {CHUNK} + 1, {CHUNK}), "
+              f"cast(array() as array<int>), (__p, __x) -> {step('__p', '__x')}))")
+    before = f"slice(aggregate(__c, array(cast(null as int)), (__q, __y) -> {step('__q', last.format('__y'))}), 1, size(__c))"
+    shifted = f"flatten(zip_with(__c, {before}, (__z, __b) -> transform(__z, __v -> {joined.format(a='__b', b='__v')})))"
+    return f"transform(array({numbers}), __a -> transform(array({chunks}), __c -> {shifted})[0])[0]"
+
+
+SUM, LARGEST, SMALLEST = "coalesce({a}, 0) + {b}", "greatest({a}, {b})", "least({a}, {b})"
+SPAN = "struct<start:int, kind_order:int, `end`:int, kind:string, value:string>"
+
+
 def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     """Array of (start, kind_order, end, kind, value) of the leftmost matches, shorter values dropped afterwards."""
     p = _quoted(pattern)
-    merged = f"""aggregate(
-        zip_with(split(__text, {p}, -1), zip_with(regexp_extract_all(__text, {p}, 0), regexp_extract_all(__text, {p}, {group}), (m, v) -> struct(m, v)),
-                 (part, hit) -> struct(part, hit.m as m, hit.v as v)),
-        struct(0 as at, cast(array() as array<struct<start:int, kind_order:int, `end`:int, kind:string, value:string>>) as found),
-        (acc, x) -> if(x.m is null, acc, struct(
-            acc.at + length(x.part) + length(x.m) as at,
-            if(length(x.v) < {least}, acc.found, array_append(acc.found, named_struct('start', acc.at + length(x.part), 'kind_order', {order},
-                'end', acc.at + length(x.part) + length(x.m), 'kind', '{kind}', 'value', x.v))) as found)),
-        acc -> acc.found)"""
-    empty = "cast(array() as array<struct<start:int, kind_order:int, `end`:int, kind:string, value:string>>)"
-    return f"if(__text rlike {p}, {merged}, {empty})"
+    cut = f"""zip_with(split(__text, {p}, -1), zip_with(regexp_extract_all(__text, {p}, 0), regexp_extract_all(__text, {p}, {group}), (m, v) -> struct(m, v)),
+        (part, hit) -> struct(length(part) + coalesce(length(hit.m), 0) as wide, length(hit.m) as n, hit.v as v))"""
+    placed = f"""zip_with(cut, {_running('transform(cut, x -> x.wide)', SUM)}, (x, at) -> if(length(x.v) >= {least},
+        named_struct('start', at - x.n, 'kind_order', {order}, 'end', at, 'kind', '{kind}', 'value', x.v), null))"""
+    return f"if(__text rlike {p}, transform(array({cut}), cut -> filter({placed}, x -> x is not null))[0], cast(array() as array<{SPAN}>))"
+
+
+def _outside(more: str, base: str, order: int) -> str:
+    """The spans of ``more`` (kind ``order``, the last) that overlap none of ``base``.
+
+    In the order of starts (base first), a base span overlaps if one up to
+    here ends behind the start, or the next one starts before the end.
+    """
+    is_base = f"x.kind_order < {order}"
+    ends = _running(f"transform(every, x -> if({is_base}, x.`end`, null))", LARGEST)
+    starts = f"reverse({_running(f'reverse(transform(every, x -> if({is_base}, x.start, null)))', SMALLEST)})"
+    free = f"{is_base} or coalesce(upto > x.start, false) or coalesce(get(starts, i) < x.`end`, false)"
+    kept = f"""transform(array({starts}), starts -> filter(transform(zip_with(every, {ends}, (x, upto) -> struct(x, upto)), (s, i) ->
+        if({free.replace('x.', 's.x.').replace('upto', 's.upto')}, null, s.x)), x -> x is not null))[0]"""
+    return f"if(size({base}) = 0 or size({more}) = 0, {more}, transform(array(array_sort(concat({base}, {more}))), every -> {kept})[0])"
 
 
 def found(docs: DataFrame, owner: Column, repository: Column, keep: tuple[str, ...]) -> DataFrame:
@@ -70,8 +101,8 @@ def found(docs: DataFrame, owner: Column, repository: Column, keep: tuple[str, .
         rows = rows.withColumn(f"__{kind}", F.expr(_spans(kind, i, pattern, group, least)))
     hashed = "transform({}, x -> named_struct('start', x.start, 'kind_order', x.kind_order, 'end', x.end, 'kind', x.kind, 'hash', sha2(x.value, 256)))"
     rows = rows.withColumn("__base", F.expr("array_sort(concat(" + ", ".join(f"__{k}" for k, *_ in BASE) + "))"))
-    outside = f"filter({_spans('owned', len(BASE), OWNED, 0, 1)}, c -> not exists(__base, b -> b.start < c.end and c.start < b.end))"
-    return materialize(rows.withColumn("__more", F.expr(outside)).selectExpr(
+    rows = rows.withColumn("__owned", F.expr(_spans("owned", len(BASE), OWNED, 0, 1)))
+    return materialize(rows.withColumn("__more", F.expr(_outside("__owned", "__base", len(BASE)))).selectExpr(
         *keep, "__row", "__owner", "__repository", *(f"cast(size(__{k}) as long) as __n_{k}" for k, *_ in BASE),
         f"{hashed.format('__base')} as __base", f"{hashed.format('__more')} as __more"), "secrets")
 
@@ -119,11 +150,14 @@ def masked(docs: DataFrame, owner: Column, repository: Column, mask: str = "<sec
     """
     seen = found(docs, owner, repository, DOCUMENT_COLUMNS)
     live = judged(seen).selectExpr("__row", "filter(spans, x -> x.live) as spans")
-    cut = f"""aggregate(spans, struct('' as done, 1 as at),
-        (acc, x) -> if(x.`end` < acc.at, acc, struct(
-            concat(acc.done, if(x.start + 1 >= acc.at, concat(substring(text, acc.at, x.start + 1 - acc.at), '{mask}'), '')) as done,
-            x.`end` + 1 as at)),
-        acc -> concat(acc.done, substring(text, acc.at)))"""
+    before = "coalesce(get(upto, {0} - 1), 0)".format
+    block_end = f"least(block * {CHUNK} + {CHUNK - 1}, size(upto) - 1)"
+    block_start = before(f"block * {CHUNK}")
+    piece = f"""if(spans[i].start < {before('i')}, '', concat(substring(part, {before('i')} - {block_start} + 1, spans[i].start - {before('i')}), '{mask}'))"""
+    blocks = f"""transform(sequence(0, (size(upto) - 1) div {CHUNK}), block -> transform(
+        array(substring(text, {block_start} + 1, get(upto, {block_end}) - {block_start})), part -> array_join(transform(sequence(block * {CHUNK}, {block_end}), i -> {piece}), ''))[0])"""
+    cut = f"""transform(array({_running('transform(spans, x -> x.`end`)', LARGEST)}), upto ->
+        concat(array_join({blocks}, ''), substring(text, get(upto, size(upto) - 1) + 1)))[0]"""
     some = seen.filter("size(__base) + size(__more) > 0").join(live, "__row", "left").withColumn(
         "text", F.expr(f"if(coalesce(size(spans), 0) = 0, text, {cut})")).withColumn(
         "n_chars", F.expr("if(coalesce(size(spans), 0) = 0, n_chars, length(text))").cast(docs.schema["n_chars"].dataType))

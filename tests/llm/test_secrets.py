@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -79,3 +80,47 @@ def test_masked(spark):
     want = [(1, 'é <secret>" end', "en", "a", 15), *rows[1:]]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert secrets.masked(docs.limit(0), F.col("source"), F.col("source")).count() == 0
+
+
+def test_many_matches(spark, monkeypatch):
+    """Chunk borders, and spans of every kind beside and across each other, thousands in one text."""
+    word = "Zz9" * 9
+    parts = ["token={i}0000000 ", word + "{i} é ", "0123456789abcdef" * 2 + " ", "AKIA000000000000{i} ", f"secret: {word}{{i}}/+x😀", word + "{i}=token:abcdefgh1 "]
+    lengths = [0, 1, 127, 128, 129, 255, 256, 257, 1000, 4000]
+    texts = ["".join(parts[(i * i + n) % len(parts)].replace("{i}", str(i)) for i in range(n)) for n in lengths]
+    rows = [{"doc_id": i, "text": t, "lang": "en", "source": f"s{i}", "n_chars": len(t)} for i, t in enumerate(texts)]
+    check(rows, query(spark, spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA), monkeypatch))
+
+
+def test_time_grows_with_matches(spark, monkeypatch):
+    """Eight times the matches take far less than 64 times the time."""
+    def seconds(n):
+        text = " ".join(f"token={i:08d} {'Zz9' * 9}{i}" for i in range(n))
+        docs = spark.createDataFrame([(1, text, "en", "s", len(text))], SCHEMA)
+        start = time.perf_counter()
+        assert query(spark, docs, monkeypatch).first()["n_assign"] == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    short = seconds(2500)
+    assert seconds(20_000) < 24 * short
+
+
+def test_masked_many(spark):
+    """Chunk borders, overlapping and touching spans, wide characters, in one text."""
+    parts = ["é😀 token={i}0000000 ", "AKIA000000000000{i} ", "secret: AKIA000000000000{i}, ", "password=" + "0123456789abcdef" * 2 + "{i}é", "plain 日本 words "]
+    lengths = [1, 5, 120, 127, 128, 129, 300, 1500]
+    texts = ["".join(parts[(i * i + n) % len(parts)].replace("{i}", str(i)) for i in range(n)) for n in lengths]
+
+    def expected_text(text):
+        out, at = [], 0
+        for start, _, end, *_ in base_spans(text):
+            if end > at:
+                out.append(text[at:start] + "<secret>" if start >= at else "")
+                at = end
+        return "".join(out) + text[at:]
+
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in secrets.masked(spark.createDataFrame(rows, SCHEMA), F.col("source"), F.col("source")).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {i: expected_text(t) for i, t in enumerate(texts)}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
