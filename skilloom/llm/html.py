@@ -210,7 +210,7 @@ def main_text(html: str | None) -> str:
     out = []
     for (b, t), yes in zip(blocks, chosen, strict=True):
         if _within(b.element, best) or (yes and b.element.path in shapes):
-            if not (b.element.name == "li" and b.linked >= 0.9 * len(t) and not yes):
+            if b.element.article or not (b.element.name == "li" and b.linked >= 0.9 * len(t) and not yes):
                 out.append(t)
     return "\n".join(out)
 

@@ -63,6 +63,15 @@ def test_page_cases(page, text):
     assert html.main_text(page) == text
 
 
+def test_link_lists_of_the_article_stay():
+    refs = "<h2>References</h2><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul>"
+    body = "<h1>Title</h1><p>A paragraph of the article, with some commas, and an end.</p>"
+    page = "<body><ul><li><a href=/>Home</a></li></ul><{0}>{1}{2}</{0}></body>"
+    for name in ("article", "main"):
+        assert html.main_text(page.format(name, body, refs)).split("\n")[1:] == [
+            "A paragraph of the article, with some commas, and an end.", "References", "First source", "Second source"]
+
+
 def test_pages_edges(spark):
     df = spark.createDataFrame([(1, "u", None, 5), (1, "u", None, 5), (None, None, "<p>x &lt; y\xa0z</p>" * 20000, 6)], "page_id long, url string, html string, text int")
     big = "\n".join(["x < y z"] * 20000)
