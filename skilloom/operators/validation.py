@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skilloom.functions import js
-from skilloom.operators.grounding import COMPARISON_BLOCKS, MATCH_TYPES, PAIRING
+from skilloom.operators.grounding import MATCH_TYPES, PAIRING, _any
+from skilloom.operators.schema import Many, OneOf, Record, Shape, Text, checked
 
 # --- fixed values: field bounds (min, max characters; None = unbounded) -------
 SOURCE_TYPES = ("RESUME_EVIDENCE", "DETERMINISTIC_ANALYSIS", "JOB_REQUIREMENT")
@@ -13,21 +14,69 @@ PRIORITIES = ("HIGH", "MEDIUM", "LOW")
 RECOMMENDATION_BOUNDS = {"id": (1, None), "title": (1, 200), "recommendation": (1, 1000), "rationale": (1, 1000)}
 RECOMMENDATION_SNIPPET_MAX = 500
 MIN_RECOMMENDATIONS, MAX_RECOMMENDATIONS = 1, 25
-COMPARISON_BOUNDS = {
-    "OVERALL": {"claim": (5, 2000)}, "STRENGTH": {"claim": (3, 500)}, "GAP": {"claim": (3, 500)},
-    "REQUIREMENT": {"claim": (1, 300), "context": (1, 1000)}, "TRANSFERABLE": {"claim": (3, 500)},
-    "RECOMMENDATION": {"claim": (3, 500), "context": (3, 1000)},
-}
 EVIDENCE_MIN, EVIDENCE_MAX, PROFILE_ITEMS_MAX = 3, 400, 100
-PROFILE_BOUNDS = {
-    "technical_skills": {"name": (1, 200)}, "soft_skills": {"name": (1, 200)},
-    "education": {"institution": (1, 200), "degree": (0, 200), "field_of_study": (0, 200), "start_year": (0, 30),
-                  "graduation_year": (0, 30), "gpa_or_grade": (0, 50)},
-    "work_experience": {"organization": (1, 200), "role": (1, 200), "location": (0, 200), "start_date": (0, 50),
-                        "end_date": (0, 50)},
-    "projects": {"name": (1, 200), "description": (0, 1000), "link_or_url": (0, 300)},
-    "certifications_and_achievements": {"title": (1, 200), "issuer": (0, 200), "issue_date": (0, 50)},
-}
+STATUSES = ("VERIFIED", "UNVERIFIED")
+SKILL_KINDS = ("PROGRAMMING_LANGUAGE", "FRAMEWORK_OR_LIBRARY", "DATABASE", "CLOUD_AND_DEVOPS", "TOOL_OR_UTILITY", "METHODOLOGY", "TECHNICAL_OTHER")
+AWARD_KINDS = ("CERTIFICATION", "AWARD", "PUBLICATION", "PATENT", "OTHER")
+
+# --- fixed values: shapes of profiles, comparisons and recommendations --------
+_SHOWN = Text(EVIDENCE_MIN, EVIDENCE_MAX)
+_NAME, _VALUE = Text(1, 200), Text(0, 200, optional=True, trim=False)
+
+
+def _short(high: int) -> Text:
+    return Text(0, high, optional=True, trim=False)
+
+
+def _judged(default: str) -> dict[str, Shape]:
+    return {"verification_status": OneOf(STATUSES, default), "unverified_reason": Text(optional=True, trim=False)}
+
+
+def _section(**fields: Shape) -> Many:
+    return Many(Record({**fields, "evidence_snippet": _SHOWN, **_judged("VERIFIED")}), high=PROFILE_ITEMS_MAX)
+
+
+def _lines(high: int) -> Many:
+    return Many(Text(0, high), high=PROFILE_ITEMS_MAX)
+
+
+PROFILE = Record({
+    "professional_summary": Record({"text": Text(0, 1000), "evidence_snippet": _short(EVIDENCE_MAX), **_judged("UNVERIFIED")}, optional=True),
+    "technical_skills": _section(name=_NAME, category=OneOf(SKILL_KINDS, "TECHNICAL_OTHER")),
+    "soft_skills": _section(name=_NAME),
+    "education": _section(institution=_NAME, degree=_VALUE, field_of_study=_VALUE, start_year=_short(30), graduation_year=_short(30),
+                          gpa_or_grade=_short(50)),
+    "work_experience": _section(organization=_NAME, role=_NAME, location=_VALUE, start_date=_short(50), end_date=_short(50),
+                                key_responsibilities=_lines(500), quantified_achievements=_lines(500)),
+    "projects": _section(name=_NAME, description=Text(0, 1000), technologies_used=_lines(100), link_or_url=_short(300)),
+    "certifications_and_achievements": _section(title=_NAME, issuer=_VALUE, issue_date=_short(50), type=OneOf(AWARD_KINDS, "OTHER")),
+    "ambiguous_or_unclear_items": Many(Record({"section": Text(0, 100), "text_snippet": _SHOWN, "ambiguity_reason": Text(0, 400)}),
+                                       high=PROFILE_ITEMS_MAX),
+})
+
+
+def _claims(**fields: Shape) -> Record:
+    return Record({**fields, "source_type": OneOf(SOURCE_TYPES), "evidence_snippet": _short(EVIDENCE_MAX), **_judged("UNVERIFIED")})
+
+
+COMPARISON = Record({
+    "overall_context": _claims(summary=Text(5, 2000)),
+    "strengths": Many(_claims(claim=Text(3, 500))),
+    "gaps": Many(_claims(claim=Text(3, 500))),
+    "requirement_analysis": Many(_claims(requirement=Text(1, 300), context=Text(1, 1000), match_type=OneOf(MATCH_TYPES, "NO_EVIDENCE"))),
+    "transferable_experience": Many(_claims(claim=Text(3, 500))),
+    "recommendations": Many(_claims(recommendation=Text(3, 500), reason=Text(3, 1000))),
+})
+RECOMMENDATION = Record(
+    {"id": Text(1, trim=False), "category": OneOf(tuple(PAIRING)), "source_type": OneOf(SOURCE_TYPES), "title": Text(1, 200),
+     "recommendation": Text(1, 1000), "rationale": Text(1, 1000), "priority": OneOf(PRIORITIES),
+     "evidence_snippet": _short(RECOMMENDATION_SNIPPET_MAX), **_judged("UNVERIFIED")},
+    {"source_type.pairing": lambda r: F.coalesce(_any([(r["category"] == c) & ~r["source_type"].eqNullSafe(s) for c, s in PAIRING.items()]), F.lit(False)),
+     "evidence_snippet.must_be_null": lambda r: (r["source_type"] == "DETERMINISTIC_ANALYSIS") & r["evidence_snippet"].isNotNull(),
+     "evidence_snippet.required": lambda r: (r["source_type"] == "RESUME_EVIDENCE") & (js.trim(F.coalesce(r["evidence_snippet"], F.lit(""))) == "")})
+RECOMMENDATIONS = Record({
+    "overall_strategy": Record({"summary": Text(1, 2000), **_judged("UNVERIFIED")}),
+    "recommendations": Many(RECOMMENDATION, MIN_RECOMMENDATIONS, MAX_RECOMMENDATIONS, optional=False)})
 RECOMMENDATION_SHAPE = ("id string, category string, source_type string, title string, recommendation string, "
                         "rationale string, priority string, evidence_snippet string")
 
@@ -66,50 +115,19 @@ def recommendation_violations(df: DataFrame, json_col: str, out: str = "violatio
     return d.withColumn(out, F.array_compact(F.array(*checks))).drop("_r")
 
 
-def comparison_violations(claims: DataFrame, out: str = "violations") -> DataFrame:
-    """Bounds of comparison claim rows (block, claim, context, source_type, match_type, evidence_snippet)."""
-    checks = [one_of(F.col("block"), "block", COMPARISON_BLOCKS), one_of(F.col("source_type"), "source_type", SOURCE_TYPES),
-              F.when((F.col("block") == "REQUIREMENT") & ~F.col("match_type").isin(*MATCH_TYPES), "match_type.enum")]
-    for block, fields in COMPARISON_BOUNDS.items():
-        for name, (low, high) in fields.items():
-            checks += [F.when(F.col("block") == block, c) for c in bounds(F.col(name), name, low, high)]
-    checks += bounds(F.col("evidence_snippet"), "evidence_snippet", 0, EVIDENCE_MAX, required=False)
-    return claims.withColumn(out, F.array_compact(F.array(*checks)))
-
-
 def profile_violations(df: DataFrame, profile: str, out: str = "violations") -> DataFrame:
-    """Bounds of every item of a profile record, named ``section.field.rule``."""
-    lists: list[Column] = []
-    for section, fields in PROFILE_BOUNDS.items():
-        items = F.col(profile)[section]
-        known = df.select(F.col(f"{profile}.{section}")).schema[0].dataType.elementType.fieldNames()
-
-        def per_item(x: Column, section=section, fields=fields, known=known) -> Column:
-            found: list[Column] = []
-            for name, (low, high) in fields.items():
-                if name in known:
-                    found += bounds(x[name], f"{section}.{name}", low, high, required=low > 0)
-            found += bounds(x["evidence_snippet"], f"{section}.evidence_snippet", EVIDENCE_MIN, EVIDENCE_MAX)
-            return F.array_compact(F.array(*found))
-
-        lists.append(F.flatten(F.transform(items, _unary(per_item))))
-        lists.append(F.array_compact(F.array(F.when(F.size(items) > PROFILE_ITEMS_MAX, f"{section}.max_items"))))
-    return df.withColumn(out, F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
-
-
-def _unary(fn):
-    return lambda x: fn(x)
+    """What is wrong with a profile record (JSON or typed), as :func:`schema.checked` has it."""
+    return checked(df, profile, PROFILE, out)
 
 
-def item_count_violation(claims: DataFrame, *keys: str) -> DataFrame:
-    """Records outside 1..25 recommendations."""
-    n = F.col("items")
-    return (claims.groupBy(*keys).agg(F.count("*").alias("items"))
-            .filter((n < MIN_RECOMMENDATIONS) | (n > MAX_RECOMMENDATIONS)))
+def comparison_violations(df: DataFrame, comparison: str, out: str = "violations") -> DataFrame:
+    """The same for a whole comparison record."""
+    return checked(df, comparison, COMPARISON, out)
 
 
-def split_good_bad(df: DataFrame, violations: str = "violations") -> tuple[DataFrame, DataFrame]:
-    return df.filter(F.size(violations) == 0).drop(violations), df.filter(F.size(violations) > 0)
+def recommendations_violations(df: DataFrame, record: str, out: str = "violations") -> DataFrame:
+    """The same for a record of recommendations and their strategy; one without items is reported."""
+    return checked(df, record, RECOMMENDATIONS, out)
 
 
 def summary_from_json(c: Column, evidence_max: int = EVIDENCE_MAX) -> Column:

@@ -264,6 +264,13 @@ _DOCX_TEXT = r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(replac
 ORACLES = {
     "range_request_count": f"""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
       RANGE BETWEEN {DAY * lc.SECOND - 1} PRECEDING AND CURRENT ROW) AS requests FROM events""",
+    "rate_limit_decisions": f"""WITH RECURSIVE e AS (SELECT event_id, u AS user_id, coalesce(u::VARCHAR, '') AS who, us,
+        row_number() OVER (PARTITION BY u ORDER BY us, event_id) AS n FROM (SELECT event_id, CASE WHEN user_id % 7 <> 0 THEN user_id END AS u, epoch_us(ts) AS us FROM events)),
+      f AS (SELECT 0::BIGINT AS n, who, NULL::BIGINT AS event_id, NULL::BIGINT AS user_id, []::BIGINT[] AS log, TRUE AS accepted, NULL::BIGINT AS retry FROM (SELECT DISTINCT who FROM e)
+        UNION ALL SELECT n, who, event_id, user_id, CASE WHEN len(live) < 3 THEN list_append(live, us) ELSE live END, len(live) < 3,
+          CASE WHEN len(live) >= 3 THEN greatest(1, (live[1] + {DAY * lc.SECOND} - us + 999999) // 1000000) END
+        FROM (SELECT e.n, e.who, e.event_id, e.user_id, e.us, list_filter(f.log, lambda t: t > e.us - {DAY * lc.SECOND}) AS live FROM f JOIN e ON e.who = f.who AND e.n = f.n + 1))
+      SELECT event_id, user_id, accepted, retry AS retry_after_seconds FROM f WHERE n > 0""",
     "attempt_states": o.with_(*_attempt_rounds(STALE_MINUTES * 60 * lc.SECOND)) + """SELECT d AS doc_id, status, n::bigint AS attempts, err AS error_code, started AS started_us, ended AS finished_us,
       n < 3 AND status <> 'COMPLETED' AS can_retry FROM s6""",
     "stale_attempts": _swept(f"started < {AS_OF} - {STALE_MINUTES * 60 * lc.SECOND}", lc.STALE_CODE),
