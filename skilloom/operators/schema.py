@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from skilloom.functions import js
 
 PATHS = "array<string>"
+#: Where the reader puts JSON that it cannot read.
+UNREAD = "_unread"
 
 
 @dataclass(frozen=True)
@@ -115,14 +117,20 @@ def accepted(value: Column, shape: Shape) -> Column:
     return F.when(value.isNotNull(), F.struct(*[accepted(value[n], s).alias(n) for n, s in shape.fields.items()]))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands in the plan once, also where the optimizer moves a filter below the projection that makes the value."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def checked(df: DataFrame, column: str, shape: Record, out: str = "violations") -> DataFrame:
     """Add ``out`` for a column of JSON texts, which becomes the record (null if it can't be read), or of typed records."""
     dtype = df.schema[column].dataType
     if isinstance(dtype, T.StringType):
-        df = df.withColumn(column, F.from_json(column, type_of(shape)))
-        unread = F.when(F.col(column).isNull(), F.array(F.lit("json.invalid")))
-        return df.withColumn(out, F.coalesce(unread, violations(F.col(column), shape)))
-    return df.withColumn(out, violations(F.col(column), within(shape, dtype)))
+        read = F.from_json(column, type_of(shape).add(UNREAD, "string"), {"columnNameOfCorruptRecord": UNREAD})
+        df = df.withColumn(column, _once(read, lambda r: F.when(r[UNREAD].isNull(), r.dropFields(UNREAD))))
+        none = F.when(F.col(column).isNull(), F.array(F.lit("json.invalid")))
+        return df.withColumn(out, F.coalesce(none, _once(F.col(column), lambda r: violations(r, shape))))
+    return df.withColumn(out, _once(F.col(column), lambda r: violations(r, within(shape, dtype))))
 
 
 def split(spark: SparkSession, judged: DataFrame, path: str, column: str = "violations") -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("matching", "reporting", "documents", "claims", "operations", "storage")
+AREAS = ("matching", "reporting", "documents", "claims", "operations", "storage", "records")
 
 
 def _merged(attr: str) -> dict:

@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 DEFAULT = ["top_applicants_per_job", "resume_skills", "job_requirements", "quality_deductions", "pii_redacted_documents", "clean_text",
            "readability_check", "verify_snippets", "term_matches_in_documents", "claim_violations", "range_request_count", "rate_limit_decisions", "attempt_states",
            "catalog_upsert", "docx_text", "stored_record_audit", "stale_attempts", "ground_strategy", "freshness_states", "comparison_freshness",
-           "profile_freshness", "refreshed_scores", "persisted_analyses", "summary_coercion", "retention_job_delete"]
+           "profile_freshness", "refreshed_scores", "persisted_analyses", "summary_coercion", "retention_job_delete",
+           "profile_record_violations", "comparison_record_violations", "recommendation_record_violations", "accepted_profiles"]
 NAMES = list(oracle_sql()) if os.environ.get("RUN_ALL") else DEFAULT
 
 
