@@ -217,13 +217,19 @@ def file_admission(spark: SparkSession, sf: str) -> DataFrame:
     mime = F.when(F.col("doc_id") % 4 == 0, files.MIME_BY_EXTENSION[".pdf"]).otherwise(mime)
     d = _docx_files(spark, sf).withColumn("name", F.expr(NAME))
     return d.select("doc_id", files.admission_code(F.col("name"), F.col("content"), mime).alias("code"),
-                    files.display_name(F.col("name")).alias("display_name"), (F.length(files.content_hash(F.col("content"))) == 64).alias("hashed"))
+                    files.display_name(F.col("name")).alias("display_name"))
+
+
+def content_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a plain file: the hash of its bytes."""
+    docs = feeds.table(spark, sf, "documents")
+    return docs.select("doc_id", files.content_hash(F.encode("text", "UTF-8")).alias("content_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
     range_request_count, rate_limit_decisions, attempt_states, stale_attempts, orphan_reset, cooldown, duplicate_names, constraint_audit, stored_record_audit,
     metadata_backfill, retention_resume_delete, retention_job_delete, retention_user_delete, retention_analysis_delete, catalog_delete_blockers, catalog_upsert,
-    job_upsert, json_merge, docx_text, file_admission)}
+    job_upsert, json_merge, docx_text, file_admission, content_fingerprints)}
 
 # --- SQL twins ---------------------------------------------------------------
 
@@ -324,6 +330,6 @@ ORACLES = {
       SELECT doc_id, CASE WHEN doc_id % 7 <> 3 AND length(regexp_replace(text, '{o.S}', '', 'g')) >= 20 THEN text END AS text,
         CASE WHEN doc_id % 7 = 3 THEN 'CORRUPTED_DOCUMENT' WHEN length(regexp_replace(text, '{o.S}', '', 'g')) < 20 THEN 'NO_READABLE_TEXT' END AS error_code FROM t""",
     "file_admission": """SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'UNSUPPORTED_EXTENSION' WHEN doc_id % 8 = 2 THEN 'MIME_MISMATCH'
-        WHEN doc_id % 4 = 0 THEN 'MAGIC_MISMATCH' END AS code, 'load_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.docx' ELSE '.txt' END AS display_name,
-        TRUE AS hashed FROM documents""",
+        WHEN doc_id % 4 = 0 THEN 'MAGIC_MISMATCH' END AS code, 'load_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.docx' ELSE '.txt' END AS display_name FROM documents""",
+    "content_fingerprints": "SELECT doc_id, sha256(text) AS content_sha256 FROM documents",
 }
