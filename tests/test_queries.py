@@ -17,7 +17,7 @@ DEFAULT = ["top_applicants_per_job", "resume_skills", "job_requirements", "quali
            "catalog_upsert", "docx_text", "stored_record_audit", "stale_attempts", "ground_strategy", "freshness_states", "comparison_freshness",
            "profile_freshness", "refreshed_scores", "persisted_analyses", "summary_coercion", "retention_job_delete",
            "profile_record_violations", "comparison_record_violations", "recommendation_record_violations", "accepted_profiles", "ground_profile_items",
-           "ground_profile_summary", "file_admission", "content_fingerprints"]
+           "ground_profile_summary", "file_admission", "content_fingerprints", "history_page_starts", "deep_history_page"]
 NAMES = list(oracle_sql()) if os.environ.get("RUN_ALL") else DEFAULT
 
 
