@@ -112,3 +112,10 @@ def test_top_applicants_plan_limits_before_shuffle(spark):
     top = scoring.top_applicants(d, 5)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert [(r.resume_id, r.rank) for r in top.orderBy("rank").collect()] == [(6, 1), (13, 2), (20, 3), (27, 4), (34, 5)]
+
+
+def test_every_admitted_file_is_hashed(spark):
+    from skilloom.plans import operations
+    d = operations.file_admission(spark, "/root/testdata/sf0.001")
+    assert d.columns == ["doc_id", "code", "display_name", "hashed"]
+    assert d.filter("hashed").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
