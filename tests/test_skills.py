@@ -123,3 +123,15 @@ def test_rest_overlap_is_by_position(spark):
     got = {r.i: r.s[0].token for r in sk.with_skills(d, "t", "s", skills=rest, override=False).collect()}
     # "REST" starts 12 before the compound: dropped once the compound is longer than that, which holds from two blanks on.
     assert [got[i].split()[0] for i in range(9)] == ["REST"] + ["RESTful"] * 7 + ["REST"]
+
+
+def test_patterns_run_on_the_lines_that_hold_a_spelling(spark):
+    from skilloom.functions.taxonomy import SKILLS
+    from skilloom.operators import skills
+    by_name = {s.name: s for s in SKILLS}
+    assert "s.lines" in skills._tokens_sql(by_name["Python"]) and "s.lines" not in skills._tokens_sql(by_name["C"])
+    prose = "Planned delivery across teams with care. " * 50
+    text = f"{prose}\nused python3 and\tPYTHON\n{prose}\nANSI\nC and R\nlanguage, take a rest, REST\nAPIs, T-SQL\nC\n/ C++"
+    got = spark.createDataFrame([(1, text)], "id long, t string")
+    found = {r.skill_name: r.token for r in skills.explode_skills(skills.with_skills(got, "t"), "id").collect()}
+    assert found == {"Python": "python3", "C": "ANSI\nC", "R": "R", "REST APIs": "REST\nAPIs", "SQL": "T-SQL", "C++": "C++"}
