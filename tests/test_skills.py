@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 import pytest
 import row_model
 
@@ -135,3 +136,14 @@ def test_patterns_run_on_the_lines_that_hold_a_spelling(spark):
     got = spark.createDataFrame([(1, text)], "id long, t string")
     found = {r.skill_name: r.token for r in skills.explode_skills(skills.with_skills(got, "t"), "id").collect()}
     assert found == {"Python": "python3", "C": "ANSI\nC", "R": "R", "REST APIs": "REST\nAPIs", "SQL": "T-SQL", "C++": "C++"}
+
+
+def test_a_derived_text_is_made_once(spark):
+    from skilloom.operators import scoring
+    from skilloom.sources import feeds
+    d = scoring.resume_features(scoring.analysable(feeds.resumes(spark, "/root/testdata/sf0.001")))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Planned delivery across teams") == 1
+    texts = spark.createDataFrame([(1, None), (2, " " * 100 + "x" * 19), (3, " " * 100 + "x" * 20), (4, "　" + "x" * 20), (5, "\U0001F600" * 10)], "id long, t string")
+    codes = texts.select("id", scoring.analysis_reject_code(F.lit("COMPLETED"), F.col("t")).alias("c")).collect()
+    assert [r.id for r in codes if r.c is None] == [3, 4, 5]
