@@ -81,10 +81,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a table from which one task makes texts.
+ROWS_A_TASK = 20_000
+
+
+def spread_rows(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """As :func:`spread`, for narrow rows that each give a text: more rows give more tasks, not longer ones."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_a_task))
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """resume_id, user_id, file_name, extraction_status, extracted_text."""
     k = "c_custkey"
-    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")).select(
+    return spread_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")).select(
         F.col(k).alias("resume_id"), F.col("c_nationkey").alias("user_id"),
         F.concat(F.lit("resume_"), F.col(k).cast("string"), F.lit(".docx")).alias("file_name"),
         F.expr(STATUS_SQL.format(k=k)).alias("extraction_status"),
@@ -94,7 +104,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job_id, user_id, title, description, created_at."""
     k = "p_partkey"
-    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")).select(
+    return spread_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")).select(
         F.col(k).alias("job_id"), (F.col("p_size") % 25).alias("user_id"),
         F.concat_ws(" ", "p_name", "p_brand").alias("title"),
         F.expr(job_text_sql(k, _pick)).alias("description"),

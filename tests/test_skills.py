@@ -147,3 +147,11 @@ def test_a_derived_text_is_made_once(spark):
     texts = spark.createDataFrame([(1, None), (2, " " * 100 + "x" * 19), (3, " " * 100 + "x" * 20), (4, "　" + "x" * 20), (5, "\U0001F600" * 10)], "id long, t string")
     codes = texts.select("id", scoring.analysis_reject_code(F.lit("COMPLETED"), F.col("t")).alias("c")).collect()
     assert [r.id for r in codes if r.c is None] == [3, 4, 5]
+
+
+def test_tasks_that_make_texts_are_bounded(spark, tmp_path):
+    from skilloom.sources import feeds
+    rows = spark.range(1000).coalesce(1)
+    assert feeds.spread_rows(rows, 50).rdd.getNumPartitions() == 20 and feeds.spread_rows(rows, 50).count() == 1000
+    spark.range(5 * feeds.ROWS_A_TASK).selectExpr("id as c_custkey", "concat('n', id) as c_name", "id % 25 as c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert feeds.resumes(spark, str(tmp_path)).rdd.getNumPartitions() == 5
