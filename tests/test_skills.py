@@ -155,3 +155,17 @@ def test_tasks_that_make_texts_are_bounded(spark, tmp_path):
     assert feeds.spread_rows(rows, 50).rdd.getNumPartitions() == 20 and feeds.spread_rows(rows, 50).count() == 1000
     spark.range(5 * feeds.ROWS_A_TASK).selectExpr("id as c_custkey", "concat('n', id) as c_name", "id % 25 as c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     assert feeds.resumes(spark, str(tmp_path)).rdd.getNumPartitions() == 5
+
+
+def test_long_lines_without_spellings_are_shortened_and_change_nothing(spark):
+    prose = "Planned delivery across towns with care and some more of it. " * 20
+    ends = ["", "ANSI", "xANSI", "xANSI   ", "xEmbedded", "programming", "and C", "REST", "rest", "skills", " "]
+    starts = ["", "C ", "C", "programming and ", "language ", "APIs ", "/ C++ ", "RESTful", "REST" + " " * 300, "Go", "R", "Skills: ", "Notes: ", "-" * 300 + " Skills "]
+    texts = [f"Skills: Go, {a}\n{b}{prose}{c}\n{d}{prose}\n{a} endpoints" for a in ("C", "R", "REST", "Go", ".NET") for b in starts for c in ends for d in ("C", "APIs ", "REST ", "Kotlin ")]
+    texts = random.Random(3).sample(texts, 120)
+    texts += [f"REST\n{prose}\nREST{' ' * n}APIs and rest" for n in (1, 39, 40, 300)] + [f"REST\r\n{prose}\r\r\nC\r\n"]
+    d = skills.with_skills(spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8), "t")
+    for r in d.collect():
+        assert {s.skill_name: (s.token, s.match_type, s.score, s.evidence) for s in r.skills} == row_model.skills(texts[r.i]), repr(texts[r.i])
+    short = spark.createDataFrame([(prose,), ("Planned " * 99 + "a",)], "t string").select(F.expr(skills.shortened_sql("t")).alias("t"))
+    assert [len(r.t) for r in short.collect()] == [141, 799 - 6]
