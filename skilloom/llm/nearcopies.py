@@ -1,18 +1,20 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 One pass over the texts gives each its set of shingle hashes' own hash (the
-mark; equal sets are one node) and MinHash band keys.  Nodes that share a band
-key are candidates: each is tied to the smallest node of its key, so a key of
-any size gives as many ties as it has nodes, and the ties' components hold
-every candidate pair.  Texts of components with two nodes or more are then
-compared in full: a component's nodes are dealt into shards of bounded size,
+mark; equal sets are one node), a SimHash of them and MinHash band keys.
+Candidates come from two searches: nodes whose SimHashes the BK-trees of
+``simhash`` link (3 of 64 bits or fewer), and nodes that share a band key, since
+a similarity of 0.8 often means more than 3 bits.  Each node is tied to the
+smallest of its fingerprint or key, so a key of any size gives as many ties as
+it has nodes, and the ties' components hold every candidate pair.  Texts of
+components with two nodes or more are then compared in full: a component's nodes are dealt into shards of bounded size,
 any two shards meet once, and every pair of nodes that meet is decided by the
 exact similarity of their shingle sets.  Links that hold are connected as in
 ``simhash``.
 
-What may be missed is a pair without a common band key that no other ties
-bring together: at a similarity of 0.8 one pair in 2900 (20 bands of 5), above
-that fewer.  No pair under 0.8 is linked by itself.
+What may be missed is a pair over 3 bits apart without a common band key that
+no other ties bring together: at a similarity of 0.8 at most one pair in 2900
+(20 bands of 5), above that fewer.  No pair under 0.8 is linked by itself.
 
 Defined cases: null and empty texts have no shingles and are copies of each
 other; a text of fewer than five words is one shingle; a null ``doc_id`` is
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, ascii_words, materialize, per_text, whole_text
-from .simhash import Groups, connected
+from .simhash import Groups, connected, links as bit_links, majority
 
 #: Production parameters: words of a shingle, least similarity, seed of the hashes.
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
@@ -73,24 +75,35 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, ``mark``, ``shingles`` (their number) and ``bands`` of every document."""
+    """``keep``, ``mark``, ``shingles`` (their number), ``fingerprint`` and ``bands`` of every document."""
 
     def make() -> Callable[[list[str]], dict]:
         def columns(texts: list[str]) -> dict:
             sets = [shingles(t) for t in texts]
-            return {"mark": [mark(s) for s in sets], "shingles": [len(s) for s in sets], "bands": [bands(s) for s in sets]}
+            return {"mark": [mark(s) for s in sets], "shingles": [len(s) for s in sets],
+                    "fingerprint": [majority(s.astype(">u8")) for s in sets], "bands": [bands(s) for s in sets]}
 
         return columns
 
-    return per_text(docs, keep, whole_text(), make, {"mark": "long", "shingles": "long", "bands": "array<long>"})
+    return per_text(docs, keep, whole_text(), make, {"mark": "long", "shingles": "long", "fingerprint": "long", "bands": "array<long>"})
+
+
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Ties (a, b) with a > b of the nodes (mark, fingerprint) whose SimHashes are equal or linked by BK-trees."""
+    least = materialize(nodes.groupBy("fingerprint").agg(F.min("mark").alias("least")), "fingerprints")
+    same = nodes.join(least, "fingerprint").filter("mark > least").selectExpr("mark as a", "least as b")
+    ends = [least.selectExpr(f"fingerprint as {side}", f"least as of_{side}") for side in "ab"]
+    near = bit_links(least.select("fingerprint")).join(ends[0], "a").join(ends[1], "b")
+    return same.union(near.selectExpr("greatest(of_a, of_b) as a", "least(of_a, of_b) as b"))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(mark, component, shingles) of the nodes (mark, shingles, bands) that share a band key, directly or through others."""
+    """(mark, component, shingles) of the nodes (mark, shingles, fingerprint, bands) whose fingerprints are near or that share a band
+    key, directly or through others.  The node without shingles is near no other."""
     filed = nodes.select("mark", F.explode("bands").alias("key"))
     shared = filed.groupBy("key").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).filter("least < most")
-    ties = filed.join(materialize(shared.select("key", "least"), "shared"), "key").filter("mark > least").selectExpr("mark as a", "least as b").distinct()
-    tied = connected(ties)
+    ties = filed.join(materialize(shared.select("key", "least"), "shared"), "key").filter("mark > least").selectExpr("mark as a", "least as b")
+    tied = connected(ties.union(near_fingerprints(nodes.filter("shingles > 0").select("mark", "fingerprint"))).distinct())
     whole = tied.union(tied.selectExpr("root", "root").distinct()).toDF("mark", "component")
     return nodes.select("mark", "shingles").join(whole, "mark")
 
@@ -166,7 +179,8 @@ def deduplicated(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     numbered = docs.select(*DOCUMENT_COLUMNS, F.monotonically_increasing_id().alias("row"))
     seen = materialize(signatures(numbered, [*DOCUMENT_COLUMNS, "row"]), "deduplication")
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row")
-    nodes = materialize(seen.groupBy("mark").agg(F.min(first).alias("first"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "nodes")
+    same = [F.first(c).alias(c) for c in ("shingles", "fingerprint", "bands")]
+    nodes = materialize(seen.groupBy("mark").agg(F.min(first).alias("first"), *same), "nodes")
     members = materialize(candidates(nodes), "members")
     one = members.select("mark").join(nodes.selectExpr("mark", "first.row as row"), "mark")
     texts = seen.select("row", whole_text().alias("text")).join(one, "row").select("mark", "text")

@@ -49,8 +49,12 @@ def simhash(text: str, words: int = WORDS) -> int:
     starts = np.append(0, ends[:-1] + 1)
     digest = xxhash.xxh64_intdigest
     cuts = zip(starts[:n].tolist(), ends[min(words, len(found)) - 1:].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in cuts), ">u8", n)
-    set_in = np.zeros(64, np.int64)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in cuts), ">u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of big-endian hashes; zero without any."""
+    n, set_in = len(hashes), np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         set_in += np.unpackbits(hashes[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_in > n).view(">i8")[0])

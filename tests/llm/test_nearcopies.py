@@ -110,3 +110,23 @@ def test_shards_decide_every_pair(copies):
     inside = {(min(p), max(p)) for p in nearcopies.shard_links(named, [])}
     assert inside <= want and len(inside) < len(want)
     assert want == {p for p in itertools.combinations(range(len(sets)), 2) if len(sets[p[0]] & sets[p[1]]) / max(1, len(sets[p[0]] | sets[p[1]])) >= 0.8}
+
+
+def test_candidates_come_from_bk_trees_and_bands(spark):
+    """Fingerprints within 3 bits make candidates where no band key is shared, and so do equal ones; farther ones do not."""
+    rows = [(1, 5, 0b0, [1]), (2, 5, 0b111, [2]), (3, 5, 0b111 << 20, [3]), (4, 5, 0b1111 << 40, [4]), (5, 5, -1, [5]), (6, 5, -1, [6]),
+            (7, 5, 0x0F0F0F0F, [7]), (8, 5, 0x70F0F0F00F0F0F0F, [7]), (9, 0, 0b1, [])]
+    nodes = spark.createDataFrame(rows, "mark long, shingles long, fingerprint long, bands array<long>")
+    got = {r["mark"]: r["component"] for r in nearcopies.candidates(nodes).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 7, 8: 7}
+
+
+def test_no_pair_near_in_bits_is_left_out(spark, copies):
+    """Every pair within 3 bits shares a candidates' component."""
+    sets = {nearcopies.mark(s): s for s in (nearcopies.shingles(r[1]) for r in copies)}
+    bits = {m: nearcopies.majority(s.astype(">u8")) & 0xFFFFFFFFFFFFFFFF for m, s in sets.items()}
+    nodes = spark.createDataFrame([(m, len(s), nearcopies.majority(s.astype(">u8")), []) for m, s in sets.items()],
+                                  "mark long, shingles long, fingerprint long, bands array<long>")
+    component = {r["mark"]: r["component"] for r in nearcopies.candidates(nodes).collect()}
+    near = [(a, b) for a, b in itertools.combinations(bits, 2) if (bits[a] ^ bits[b]).bit_count() <= 3]
+    assert near and all(component[a] == component[b] for a, b in near)
