@@ -75,10 +75,14 @@ def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
     return reports.duplicate_keys(feeds.table(spark, sf, "part"), "p_name")
 
 
+#: What the rules read of an analysis.
+AUDITED = tuple(f for f, _, _ in mt.ANALYSIS_RULES.values())
+
+
 def constraint_audit(spark: SparkSession, sf: str) -> DataFrame:
-    a = materialize(_analyses(spark, sf, items=True), "analyses")
+    a = materialize(_analyses(spark, sf, items=("status", "similarity_score", "confidence")).select(*AUDITED, "items"), "analyses")
     return (mt.audit(a, mt.analysis_rules())
-            .unionByName(mt.audit(scoring.explode_items(a, "analysis_id"), mt.item_rules()))
+            .unionByName(mt.audit(scoring.explode_items(a), mt.item_rules()))
             .unionByName(mt.audit(feeds.jobs(spark, sf), mt.job_rules()))
             .unionByName(mt.audit(feeds.table(spark, sf, "documents"), {"text_20_2000": mt.length_between("text", 20, 2000)})))
 
@@ -128,7 +132,7 @@ def retention_job_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retention_user_delete(spark: SparkSession, sf: str) -> DataFrame:
-    a = materialize(_analyses(spark, sf, items=True), "analyses")
+    a = materialize(_analyses(spark, sf, items=("skill_name",)).select("user_id", "analysis_id", "items"), "analyses")
     users = feeds.table(spark, sf, "nation").select(F.col("n_nationkey").alias("user_id"), "n_regionkey")
     left = mt.cascade_user_delete(users, feeds.resumes(spark, sf), feeds.jobs(spark, sf), a.drop("items"), scoring.explode_items(a, "analysis_id"),
                                   users.filter(F.col("n_regionkey") == 1))
@@ -140,7 +144,7 @@ def retention_user_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retention_analysis_delete(spark: SparkSession, sf: str) -> DataFrame:
-    a = materialize(_analyses(spark, sf, items=True), "analyses")
+    a = materialize(_analyses(spark, sf, items=("skill_name",)).select("analysis_id", "overall_score", "items"), "analyses")
     keep, items = mt.delete_analyses(a.drop("items"), scoring.explode_items(a, "analysis_id"),
                                      a.filter(F.col("overall_score") < 20).select("analysis_id"))
     n = items.groupBy("analysis_id").agg(F.count("*").alias("items"))
@@ -148,7 +152,7 @@ def retention_analysis_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog_delete_blockers(spark: SparkSession, sf: str) -> DataFrame:
-    items = scoring.explode_items(_analyses(spark, sf, items=True), "analysis_id")
+    items = scoring.explode_items(_analyses(spark, sf, items=("skill_name",)))
     return mt.catalog_delete_blockers(taxonomy_df(spark).select("skill_name"), items)
 
 

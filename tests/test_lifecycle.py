@@ -173,3 +173,25 @@ def test_scoring_stream(spark, tmp_path):
     src = spark.readStream.schema("resume_id int, extracted_text string").parquet(path)
     _drain(jobs.score_documents(src).select("resume_id", "skills.skill_name"), "scored", tmp_path)
     assert spark.table("scored").first().skill_name == ["Python"]
+
+
+def test_nested_summary_equals_summary_of_item_rows(spark):
+    from skilloom.operators import scoring
+    rows = [("a", [("REQUIRED", "MATCHED"), ("REQUIRED", "MISSING"), ("PREFERRED", "MATCHED")]), ("b", [("PREFERRED", "MISSING")] * 3), ("c", [])]
+    d = spark.createDataFrame(rows, "analysis_id string, items array<struct<requirement_type:string,status:string>>")
+    flat = scoring.explode_items(d, "analysis_id").selectExpr("analysis_id", "status", "concat('[', requirement_type, '] said') AS evidence")
+    want, got = scoring.summarise_items(flat, "analysis_id"), scoring.summarise_nested(d, "analysis_id")
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 2
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_named_item_fields_are_made(spark):
+    from skilloom.operators import scoring
+    pair = spark.createDataFrame([(1, [0, 3], [5])], "k int, required_pos array<int>, preferred_pos array<int>").selectExpr(
+        "*", "array(named_struct('skill_pos', 3, 'score', 80D, 'confidence', 0.8D, 'in_skills_section', false, 'match_type', 'EXACT', 'token', 'Java')) AS skills")
+    whole = pair.select(scoring.items_column().alias("items")).first()["items"]
+    for fields in (("skill_name",), ("status", "confidence"), ("requirement_type", "evidence", "skill_name")):
+        d = pair.select(scoring.items_column(fields=fields).alias("items"))
+        assert [tuple(i) for i in d.first()["items"]] == [tuple(i[f] for f in fields) for i in whole]
+        assert d.schema["items"].dataType.elementType.names == list(fields)
