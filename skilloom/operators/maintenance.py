@@ -80,6 +80,11 @@ def delete_analyses(analyses: DataFrame, items: DataFrame, deleted: DataFrame) -
     return analyses.join(ids, "analysis_id", "left_anti"), items.join(ids, "analysis_id", "left_anti")
 
 
+def delete_where(analyses: DataFrame, doomed: Column) -> DataFrame:
+    """As :func:`delete_analyses` by a rule, for analyses that carry their items or the number of them: one pass, nothing is joined."""
+    return analyses.filter(~F.coalesce(doomed, F.lit(False)))
+
+
 def catalog_delete_blockers(requested: DataFrame, items: DataFrame, key: str = "skill_name") -> DataFrame:
     """Catalog rows that cannot be deleted because items still use them."""
     return requested.join(items.select(key).distinct(), key, "left_semi")

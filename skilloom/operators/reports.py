@@ -6,6 +6,8 @@ totals come from a partial aggregate, so one huge tenant stays cheap.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skilloom.functions import js
@@ -95,12 +97,15 @@ def extraction_status_counts(jobs_with_counts: DataFrame, *keys: str) -> DataFra
                                                F.count_if(~F.col("extracted")).alias("pending_count"))
 
 
-def dashboard(resumes: DataFrame, jobs: DataFrame, analyses: DataFrame, latest: int = 5) -> DataFrame:
-    """Per tenant: entity totals and the rounded mean score of the newest analyses (null when none)."""
+def dashboard(resumes: DataFrame, jobs: DataFrame, analyses: DataFrame, latest: int = 5,
+              score: Callable[[DataFrame], DataFrame] = lambda newest: newest) -> DataFrame:
+    """Per tenant: entity totals and the rounded mean score of the newest analyses (null when none).
+
+    ``score`` gives the newest rows their ``user_id`` and ``overall_score`` where ``analyses`` come without scores.
+    """
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("analysis_id"))
-    recent = (analyses.select("user_id", "created_at", "analysis_id", "overall_score")
-              .withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= latest)
-              .groupBy("user_id").agg(js.round_half_up(F.avg("overall_score"), 0).cast("long").alias("latest_average")))
+    newest = analyses.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= latest).drop("_n")
+    recent = (score(newest).groupBy("user_id").agg(js.round_half_up(F.avg("overall_score"), 0).cast("long").alias("latest_average")))
     count = lambda df, name: df.groupBy("user_id").agg(F.count("*").alias(name))
     tenants = resumes.select("user_id").union(jobs.select("user_id")).distinct()
     out = tenants
