@@ -152,7 +152,7 @@ def retention_analysis_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog_delete_blockers(spark: SparkSession, sf: str) -> DataFrame:
-    items = scoring.explode_items(_analyses(spark, sf, items=("skill_name",)))
+    items = scoring.skills_in_use(feeds.application_events(spark, sf), feeds.resumes(spark, sf), feeds.jobs(spark, sf))
     return mt.catalog_delete_blockers(taxonomy_df(spark).select("skill_name"), items)
 
 
